@@ -6,18 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, fertility, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.accepted(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.spans(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fertility": op3_fertility,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_suffix_array": op6_suffix_array,
     "op9_simhash": op9_simhash,
 }
 SQL: dict[str, str] = {}
