@@ -63,10 +63,10 @@ def measures(texts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray,
         return n, chars / n, fallback / n, np.where(n > 0, np.maximum(entropy, 0), np.nan)
 
 
-def measured(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """``docs`` with ``__llm_group``, ``__llm_n``, ``__llm_cpt``, ``__llm_fallback`` and ``__llm_entropy``."""
+def measured(docs: DataFrame, folder: str = TOKENIZERS, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``__llm_group``, ``__llm_n``, ``__llm_cpt``, ``__llm_fallback`` and ``__llm_entropy``."""
     has_lang = "lang" in docs.columns
-    names = docs.columns
+    names = docs.columns if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(folder)
@@ -79,15 +79,15 @@ def measured(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
             extra = [pa.array(group), pa.array(n), *(pa.array(x, mask=none) for x in (cpt, fallback, entropy))]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + extra, names=[*names, *(PRE + c for c in ("group", "n", "cpt", "fallback", "entropy"))])
 
-    schema = docs.schema
+    schema = docs.select(*(F.col(f"`{c}`") for c in names)).schema
     for c, kind in (("group", "string"), ("n", "long"), ("cpt", "double"), ("fallback", "double"), ("entropy", "double")):
-        schema = schema.add(PRE + c, kind) if c == "group" else schema.add(PRE + c, kind)
+        schema = schema.add(PRE + c, kind)
     return docs.withColumn(f"{PRE}text", F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
 
 
-def judged(docs: DataFrame, k: float = K, least: int = LEAST, folder: str = TOKENIZERS) -> DataFrame:
+def judged(docs: DataFrame, k: float = K, least: int = LEAST, folder: str = TOKENIZERS, keep: list[str] | None = None) -> DataFrame:
     """:func:`measured` with ``__llm_ok``."""
-    seen = cut(measured(docs, folder), "fertility")
+    seen = cut(measured(docs, folder, keep), "fertility")
     octave = F.floor(F.log2(f"{PRE}n")).cast("int")
     g, three = f"{PRE}group", ("cpt", "fallback", "entropy")
     slim = seen.where(f"{PRE}n > 0").select(F.col(g).alias("g"), octave.alias("o"), *(F.col(PRE + c).alias(c) for c in three))
@@ -110,13 +110,13 @@ def judged(docs: DataFrame, k: float = K, least: int = LEAST, folder: str = TOKE
 
     off = {c: F.col(PRE + c) - F.col(f"{PRE}{c}_m") for c in three}
     ok = (F.abs(off["cpt"]) <= width("cpt")) & (off["fallback"] <= width("fallback")) & (-off["entropy"] <= width("entropy"))
-    return out.select(*seen.columns, F.coalesce(ok, F.lit(False)).alias(f"{PRE}ok"))
+    return out.select(*(F.col(f"`{c}`") for c in seen.columns), F.coalesce(ok, F.lit(False)).alias(f"{PRE}ok"))
 
 
 def accepted(docs: DataFrame, k: float = K, least: int = LEAST, folder: str = TOKENIZERS) -> DataFrame:
     """``(doc_id, band, n_tokens, chars_per_token, fallback_share, entropy)`` of the documents that pass."""
     have = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
-    j = judged(docs.select(*have), k, least, folder).where(f"{PRE}ok")
+    j = judged(docs.select(*have), k, least, folder, ["doc_id"]).where(f"{PRE}ok")
     return j.select("doc_id", F.col(f"{PRE}group").alias("band"), F.col(f"{PRE}n").alias("n_tokens"), F.col(f"{PRE}cpt").alias("chars_per_token"), F.col(f"{PRE}fallback").alias("fallback_share"), F.col(f"{PRE}entropy").alias("entropy"))
 
 

@@ -199,14 +199,14 @@ def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     nothing but white space is left goes.
     """
     r = repeated_windows(docs, threshold).where(f"{ID} <> first_id or {KEY} <> first_key or pos <> first_pos")
-    lists = r.groupBy(ID, KEY).agg(F.collect_list(F.struct("pos", (F.col("pos") + F.col("n") + threshold - 1).alias("end"))).alias("gone"))
+    lists = r.groupBy(ID, KEY).agg(F.collect_list(F.struct("pos", (F.col("pos") + F.col("n") + threshold - 1).alias("end"))).alias("__llm_gone"))
     inner = "__llm_text"
     cutting = keyed(docs).join(lists, [ID, KEY], "left").withColumn(inner, F.coalesce("text", F.lit("")))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, inner):
-            column, gone = b.column(inner), b.column("gone")
+            column, gone = b.column(inner), b.column("__llm_gone")
             cols = {c: b.column(c) for c in names}
             if gone.null_count < b.num_rows:
                 raw, off = flat(column)
@@ -237,4 +237,4 @@ def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 cols = {c: v.filter(mask) for c, v in cols.items()}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return cutting.select(*names, "gone", inner).mapInArrow(run, docs.schema)
+    return cutting.select(*(F.col(f"`{c}`") for c in names), "__llm_gone", inner).mapInArrow(run, docs.schema)
