@@ -450,7 +450,7 @@ def _internal(m: Internal) -> Query:
 
 
 for _k, _i in enumerate(Internal, 1):
-    query(f"m{_k}_{_i.name.lower()}", f"WITH {PARTS}, r AS ({_MEASURES[_i.key]} AS value) SELECT round(value, 6) AS value FROM r".replace(" AS value) SELECT", ") SELECT").replace("r AS (", "r(value) AS ("))(_internal(_i))
+    query(f"m{_k}_{_i.name.lower()}", f"WITH {PARTS}, result(value) AS ({_MEASURES[_i.key]}) SELECT round(value, 6) AS value FROM result")(_internal(_i))
 
 
 @query("p25_noise_filter", "SELECT count(*) AS rows FROM embeddings WHERE label <> 0")
