@@ -27,6 +27,8 @@ BLOCK_TOKENS = 20_000
 SHARE = 0.75
 SHARDS = 16
 SEED = 17
+#: Less counts as no weight: its quotients would no longer be told apart.
+LEAST_WEIGHT = 1e-200
 #: Hexadecimal digits of the order key by which a source's documents are summed in parallel.
 SLICE = 3
 
@@ -38,12 +40,13 @@ def seats_before(weights: np.ndarray, have: np.ndarray, bounds: list[int]) -> np
     work doesn't depend on the number of seats.
     """
     weights, have = np.asarray(weights, float), np.asarray(have, np.int64)
+    have = np.where(weights >= LEAST_WEIGHT, have, 0)
 
     def above(q: float, closed: bool) -> np.ndarray:
         """Seats with quotients above ``q``, or at least ``q``."""
         with np.errstate(all="ignore"):
             k = np.nan_to_num(np.floor((weights / q - 1) / 2), nan=0, posinf=2**62, neginf=-1)
-        k = np.clip(k, -1, 2**60).astype(np.int64)
+        k = np.clip(k, -1, have).astype(np.int64)
         best = np.zeros(len(weights), np.int64)
         for step in (-1, 0, 1):  # the estimate may be off by rounding
             c = np.maximum(k + step, 0)
