@@ -190,7 +190,7 @@ def http(block: bytes) -> tuple[int | None, dict[str, str] | None, bytes]:
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, options: dict, schema):
+    def __init__(self, options, schema):
         self.path, self.schema = options["path"], schema
         self.most = int(options.get("partitionBytes", PARTITION_BYTES))
         self.filters: list = []
@@ -277,7 +277,7 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict, overwrite: bool):
+    def __init__(self, options, overwrite: bool):
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex[:12]
         where, root = _fs(self.path)
         if overwrite:
@@ -325,10 +325,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(dict(self.options), schema)
+        return WarcReader(self.options, schema)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options), overwrite)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
