@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
     def pairs(s: DataFrame, open_only: bool) -> DataFrame:
         s = s.where("open > 0") if open_only else s
         left = tiles.join(s.drop("above", "open"), "tile")
-        return left.crossJoin(other).where("dim = dim2")
+        return left.crossJoin(other).where("dim >= dim2 and dim <= dim2")  # an equality would hash all tiles to one task
 
     state = cut(tiles.select("tile", "n").mapInArrow(start, STATE), "state")
     for _ in range(SPAN // BITS):
