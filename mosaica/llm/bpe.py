@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, parts
+from .common import TOKENIZERS, parts, tidy
 from .vocab import SPACES, WordEncoder, chunks
 
 VOCABULARY = "byte_bpe_50k"
@@ -138,4 +138,4 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZE
             offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(offsets, values), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, tokens array<int>, round_trip boolean")

@@ -6,9 +6,12 @@ are one document. A null ``doc_id`` takes part under :data:`NO_ID`; a null text
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +63,8 @@ def real_id(name: str = ID):
 
 # ---- texts in Arrow batches as flat bytes -------------------------------------------------------------------------
 
-PART_BYTES = 1 << 21
+#: Bytes of text that a kernel works on at a time: its arrays are about thirty times as large.
+PART_BYTES = 1 << 19
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +93,22 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = P
             s = e
 
 
+def tidy(run):
+    """A batch function that gives its memory back when its partition is done: workers live on for other stages."""
+
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

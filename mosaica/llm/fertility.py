@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, cut, parts
+from .common import TOKENIZERS, cut, parts, tidy
 from .vocab import Pieces
 
 K = 5.0
@@ -82,7 +82,7 @@ def measured(docs: DataFrame, folder: str = TOKENIZERS, keep: list[str] | None =
     schema = docs.select(*(F.col(f"`{c}`") for c in names)).schema
     for c, kind in (("group", "string"), ("n", "long"), ("cpt", "double"), ("fallback", "double"), ("entropy", "double")):
         schema = schema.add(PRE + c, kind)
-    return docs.withColumn(f"{PRE}text", F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
+    return docs.withColumn(f"{PRE}text", F.coalesce("text", F.lit(""))).mapInArrow(tidy(run), schema)
 
 
 def judged(docs: DataFrame, k: float = K, least: int = LEAST, folder: str = TOKENIZERS, keep: list[str] | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, tidy
 from .vocab import CACHE_WORDS
 
 #: Labelled documents of each language to fit to.
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, min_count: int = MIN_
         for lang, c in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    rows = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    rows = sample.select("lang", "text").mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     langs, ws, ns = (rows.column(c).to_pylist() for c in ("lang", "word", "n"))
     languages = sorted(set(langs))
     at = {x: k for k, x in enumerate(languages)}
@@ -140,4 +140,4 @@ def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFram
             got = [scorer.text(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "language", "margin"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, language string, margin double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id long, language string, margin double")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, flat, parts, ranges_hash, words
+from .common import ALNUM, flat, parts, ranges_hash, tidy, words
 
 #: Words by which a phrase may stand off its place, relative to the template's first phrase.
 SLACK = 3
@@ -117,7 +117,7 @@ def frequencies(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> di
             count += np.bincount(both % len(count), minlength=len(count))
         yield pa.RecordBatch.from_arrays([pa.array(lookup.sorted.view(np.int64)), pa.array(count)], names=["h", "n"])
 
-    rows = _texts(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
+    rows = _texts(docs).mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
     found = {r.h: r.n for r in rows}
     return {w: found.get(int(np.uint64(h).view(np.int64)), 0) for h, w in by_hash.items()}
 
@@ -189,4 +189,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, slack: int =
                 name, first, n = zip(*found)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(name), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "license", "start_word", "n_words"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, license string, start_word long, n_words long")
+    return _texts(docs).mapInArrow(tidy(run), "doc_id long, license string, start_word long, n_words long")

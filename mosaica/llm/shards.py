@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, cut, new_path, parts
+from .common import TOKENIZERS, cut, new_path, parts, tidy
 from .vocab import WordEncoder
 
 SEQ_LEN = 2048
@@ -82,7 +82,7 @@ def sequences(docs: DataFrame, seq_len: int = SEQ_LEN, vocabulary: str = "byte_b
 
     if WordEncoder(vocabulary, folder).dtype.itemsize != 2:
         raise ValueError("ids must fit into 16 bits")
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "part int, seq long, n_tokens int, ids binary")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "part int, seq long, n_tokens int, ids binary")
 
 
 def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY, **options) -> DataFrame:
@@ -151,9 +151,9 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
         if got:
             yield finish(now, got)
 
-    placed = seqs.join(counts.select("part", "before"), "part").mapInArrow(place, "shard long, task int, slots binary, n binary, ids binary")
+    placed = seqs.join(counts.select("part", "before"), "part").mapInArrow(tidy(place), "shard long, task int, slots binary, n binary, ids binary")
     ranged = placed.repartitionById(tasks, "task").sortWithinPartitions("shard")
-    return ranged.mapInArrow(write, "slot long, shard long, byte_offset long, n_tokens int, crc32 long")
+    return ranged.mapInArrow(tidy(write), "slot long, shard long, byte_offset long, n_tokens int, crc32 long")
 
 
 def read(path: str, start: int, n: int, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD) -> np.ndarray:

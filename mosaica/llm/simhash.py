@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ID, KEY, cut, flat, keyed, mix, parts, ranges_hash, real_id, texts_of, words
+from .common import ALNUM, ID, KEY, cut, flat, keyed, mix, parts, ranges_hash, real_id, texts_of, tidy, words
 from .components import components
 
 #: Bits of 256 in which near copies may differ: about one word in ten changed.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             cols = [b.column(ID).filter(keep), b.column(KEY).filter(keep)] + [pa.array(f[has, k].view(np.int64)) for k in range(LANES)]
             yield pa.RecordBatch.from_arrays(cols, names=[ID, KEY, *FP])
 
-    return texts_of(docs).mapInArrow(run, f"{ID} long, {KEY} long, " + ", ".join(f"{c} long" for c in FP))
+    return texts_of(docs).mapInArrow(tidy(run), f"{ID} long, {KEY} long, " + ", ".join(f"{c} long" for c in FP))
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def near_edges(distinct: DataFrame, radius: int) -> DataFrame:
                 moved = np.flatnonzero(root != np.arange(len(every)))
                 yield pa.RecordBatch.from_arrays([pa.array(every[moved]), pa.array(every[root[moved]])], names=["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return pairs.mapInArrow(tidy(run), "u long, v long")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, SOLID, flat, keyed, mix, parts, ranges_hash, real_id, texts_of, words
+from .common import ID, KEY, SOLID, flat, keyed, mix, parts, ranges_hash, real_id, texts_of, tidy, words
 
 #: A passage is repeated if this many words in a row are.
 THRESHOLD = 50
@@ -80,7 +80,7 @@ def _pass_one(docs: DataFrame, threshold: int) -> DataFrame:
             rows = pa.array(doc[new])
             yield pa.RecordBatch.from_arrays([pa.array(digit[new].view(np.int64)), b.column(ID).take(rows), b.column(KEY).take(rows), pa.array(np.diff(np.append(new, len(doc))))], names=["digit", ID, KEY, "n"])
 
-    return texts_of(docs).mapInArrow(run, f"digit long, {ID} long, {KEY} long, n long")
+    return texts_of(docs).mapInArrow(tidy(run), f"digit long, {ID} long, {KEY} long, n long")
 
 
 def _suffixes(texts: DataFrame, threshold: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _suffixes(texts: DataFrame, threshold: int) -> DataFrame:
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(w.least[i[new]].view(np.int64)), b.column(ID).take(rows), b.column(KEY).take(rows), pa.array((i[new] - w.at[doc]).astype(np.int64)), blob], names=["digit", ID, KEY, "pos", "hashes"])
 
-    return texts.mapInArrow(run, f"digit long, {ID} long, {KEY} long, pos long, hashes binary")
+    return texts.mapInArrow(tidy(run), f"digit long, {ID} long, {KEY} long, pos long, hashes binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     lists = repeated.groupBy(ID, KEY).agg(F.collect_set("digit").alias("digits"))
     texts = texts_of(docs).join(lists, [ID, KEY])
     suffixes = _suffixes(texts, threshold).repartition("digit").sortWithinPartitions("digit", ID, KEY, "pos")
-    return suffixes.mapInArrow(_runs, f"{ID} long, {KEY} long, pos long, n long, first_id long, first_key long, first_pos long")
+    return suffixes.mapInArrow(tidy(_runs), f"{ID} long, {KEY} long, pos long, n long, first_id long, first_key long, first_pos long")
 
 
 def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -237,4 +237,4 @@ def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 cols = {c: v.filter(mask) for c, v in cols.items()}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return cutting.select(*(F.col(f"`{c}`") for c in names), "__llm_gone", inner).mapInArrow(run, docs.schema)
+    return cutting.select(*(F.col(f"`{c}`") for c in names), "__llm_gone", inner).mapInArrow(tidy(run), docs.schema)
