@@ -87,7 +87,7 @@ def scale(x, a: float) -> Column:
 
 def elementwise(x, y, f) -> Column:
     """``f`` of the coordinates, as ``F.least`` and ``F.greatest``."""
-    return F.zip_with(_col(x), _col(y), f)
+    return F.zip_with(_col(x), _col(y), lambda a, b: f(a, b))
 
 
 def l2(modalities: Sequence[Modality]) -> Column:

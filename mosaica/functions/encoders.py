@@ -58,7 +58,8 @@ class BytesEncoder:
         pass
 
     def encode(self, values: list) -> np.ndarray:
-        return np.array([np.bincount(np.frombuffer(v or b"", np.uint8) * self.dim // 256 if v else np.zeros(0, int), minlength=self.dim) / max(1, len(v or b"")) for v in values]).reshape(len(values), self.dim)
+        counts = [np.bincount(np.frombuffer(v or b"", np.uint8).astype(int) * self.dim // 256, minlength=self.dim) / max(1, len(v or b"")) for v in values]
+        return np.array(counts, float).reshape(len(values), self.dim)
 
 
 @dataclass

@@ -15,10 +15,14 @@ from ..modality import ID, MultiFrame
 from .base import Algorithm, CentreModel, Model, check, check_clusters, hash_order, kept, sums_by
 
 
-def local_kmeans(x: np.ndarray, weights: np.ndarray, k: int, max_iterations: int, modalities, seed: int = 0) -> np.ndarray:
-    """Weighted k-means of a few vectors: seeds drawn in proportion to weighted distance, then Lloyd rounds."""
-    r = np.random.default_rng(seed)
+def local_kmeans(x: np.ndarray, weights: np.ndarray, k: int, max_iterations: int, modalities, seed: int = 0, starts: int = 4) -> np.ndarray:
+    """Weighted k-means of a few vectors: seeds drawn in proportion to weighted distance, then Lloyd rounds; the cheapest of a few starts."""
     weights = np.asarray(weights, float)
+    tries = [_local_kmeans(x, weights, k, max_iterations, modalities, np.random.default_rng([seed, s])) for s in range(starts)]
+    return min(tries, key=lambda c: float((nearest(modalities, x, c)[1] * weights).sum()))
+
+
+def _local_kmeans(x: np.ndarray, weights: np.ndarray, k: int, max_iterations: int, modalities, r: np.random.Generator) -> np.ndarray:
 
     def draw(w: np.ndarray) -> int:
         return int(r.choice(len(x), p=w / w.sum())) if w.sum() > 0 else int(r.integers(len(x)))

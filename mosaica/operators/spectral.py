@@ -89,7 +89,7 @@ def largest(entries: DataFrame, n: int, k: int, rounds: int = 300, seed: int = 0
             sent.destroy()
             return y
 
-        m = min(n, max(2 * k + 1, 20), rounds)
+        m = min(n, max(4 * k + 20, 60), rounds)
         q = np.zeros((n, m + 1))
         q[:, 0] = np.random.default_rng(seed).standard_normal(n)
         q[:, 0] /= np.linalg.norm(q[:, 0])
