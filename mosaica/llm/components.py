@@ -1,33 +1,5 @@
-"""Connected components of a graph given as edges, by alternating large-star and small-star rounds."""
+"""Connected components, shared with the clustering operators."""
 
-from __future__ import annotations
+from ..operators.components import components
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from .common import cut
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``edges(u, v)`` of longs -> ``(node, root)`` for every node with an edge; root is the component's least node.
-
-    No edges give no rows; loops and repeated edges are harmless. Each round is two shuffles and is written to the
-    shared folder; the rounds grow with the logarithm of the largest component.
-    """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: every larger neighbour to the least one
-        at = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(at), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: every smaller neighbour, and the node, to the least one
-        small = large.withColumn("m", F.min("v").over(at))
-        e = cut(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
-            "edges",
-        )
+__all__ = ["components"]
