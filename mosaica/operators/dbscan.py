@@ -140,7 +140,7 @@ class DBSCAN(Algorithm):
         super().__init__(epsilon=epsilon, min_points=min_points, border_noise=border_noise, max_clusters=max_clusters, points_in_box=points_in_box, levels=levels, axis_splits=axis_splits)
 
     def labels(self, frame: MultiFrame) -> DataFrame:
-        """``(_id, _label, core)``; clusters are numbered by their least core."""
+        """``(_id, _label, core)``; clusters are numbered by their least core. However many there are, also one or none."""
         p, ms, eps = self.params, frame.modalities, self.params["epsilon"]
         t = banded(frame.df, ms, eps)
         counts = cut(neighbour_counts(frame, eps, t), "neighbours")
@@ -165,7 +165,6 @@ class DBSCAN(Algorithm):
         comp = components(near_pairs(cores, cores, ms, edges, "u long, v long", once=True))
         rooted = core.join(comp, F.col(ID) == F.col("node"), "left").select(ID, F.coalesce("root", ID).alias("root"))
         roots = rooted.select("root").distinct().orderBy("root").collect()
-        check_clusters(len(roots), p["max_clusters"])
         number = frame.df.sparkSession.createDataFrame([(r.root, i) for i, r in enumerate(roots)], "root long, __k int")
         labelled = cut(rooted.join(number, "root").select(ID, F.col("__k").alias(LABEL)), "cores")
         out = counts.select(ID).join(labelled.withColumn("core", F.lit(True)), ID, "left")
@@ -192,4 +191,5 @@ class DBSCAN(Algorithm):
     def fit(self, frame: MultiFrame) -> DBSCANModel:
         p = self.params
         labels = cut(self.labels(frame).drop("core"), "labels")
+        check_clusters(labels.where(F.col(LABEL) != NOISE).select(LABEL).distinct().count(), p["max_clusters"])
         return DBSCANModel(frame.like(frame.df.join(labels, ID)), p["epsilon"], p["min_points"], p["border_noise"])

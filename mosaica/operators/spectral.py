@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.distances import nearest, pairwise
 from ..functions.tiles import over_pairs, tiles
 from ..modality import ID, LABEL, MultiFrame
-from ..session import cut
+from ..session import cut, numbered
 from .base import Algorithm, LabelledModel, check
 from .kmeans import local_kmeans
 
@@ -53,14 +53,6 @@ def affinity(df: DataFrame, modalities, gamma: float) -> DataFrame:
     return over_pairs(tiles(df, modalities), modalities, run, f"{ID} long, neighbour long, w double")
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``(_id, __i)``: the rows' numbers in the order of ``_id``, without one task seeing all of them."""
-    ids = cut(df.select(ID).repartitionByRange(ID).sortWithinPartitions(ID).withColumn("p", F.spark_partition_id()), "ids")
-    before = ids.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("p")) - F.col("n"))
-    at = F.row_number().over(Window.partitionBy("p").orderBy(ID)) - 1
-    return ids.withColumn("at", at).join(before, "p").select(ID, (F.col("before") + F.col("at")).alias("__i"))
-
-
 def largest(entries: DataFrame, n: int, k: int, rounds: int = 300, seed: int = 0) -> np.ndarray:
     """``(n, k)``: eigenvectors of the symmetric matrix ``entries(i, j, v)`` with the largest absolute eigenvalues."""
     k = min(k, n)
@@ -134,7 +126,7 @@ class _Spectral(Algorithm):
         n = frame.amount
         if n < p["k"]:
             raise RuntimeError(f"not enough rows for {p['k']} clusters")
-        at = cut(numbered(frame.df), "numbers")
+        at = cut(numbered(frame.df.select(ID), ID, "__i"), "numbers")
         j = at.select(F.col(ID).alias("neighbour"), F.col("__i").alias("j"))
         xs, ms = [], []
         for m in frame.modalities:

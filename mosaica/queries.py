@@ -601,19 +601,7 @@ SELECT v.id AS _id, coalesce(k, -1)::INTEGER AS _label FROM v LEFT JOIN {own} o
 
 
 for _noise in (True, False):
-    query("c5_dbscan" + ("" if _noise else "_borders"), _dbscan_sql(_noise))(lambda spark, sf_dir, noise=_noise: _any_clusters(embedded(spark, sf_dir), noise))
-
-
-def _any_clusters(f: MultiFrame, noise: bool) -> DataFrame:
-    """Labels also where there is one cluster only, which ``fit`` refuses."""
-    algo = DBSCAN(_EPS, _MIN, border_noise=noise)
-    from .operators import dbscan
-
-    check, dbscan.check_clusters = dbscan.check_clusters, lambda k, most: None
-    try:
-        return algo.labels(plain(f)).select(ID, LABEL)
-    finally:
-        dbscan.check_clusters = check
+    query("c5_dbscan" + ("" if _noise else "_borders"), _dbscan_sql(_noise))(lambda spark, sf_dir, noise=_noise: DBSCAN(_EPS, _MIN, noise).labels(plain(embedded(spark, sf_dir))).select(ID, LABEL))
 
 
 _SPLITS, _SHARE = 4, 0.015

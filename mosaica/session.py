@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -41,3 +42,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with numbers from 0 in the order of ``by``: range partitions are numbered alone and then offset, so no task sees all rows."""
+    rows = cut(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id()), "numbered")
+    before = rows.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))
+    at = F.row_number().over(Window.partitionBy("__p").orderBy(by)) - 1
+    return rows.withColumn("__at", at).join(before, "__p").withColumn(name, F.col("__before") + F.col("__at")).drop("__p", "__n", "__before", "__at")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..modality import MultiFrame
+from ..session import numbered
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema: str | None = None) -> DataFrame:
@@ -49,8 +50,7 @@ def read_bytes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """Two frames side by side, row by row in the given orders; rows without a partner go."""
-    number = lambda df, by: df.withColumn("__n", F.row_number().over(Window.orderBy(by)))
-    return number(left, left_order).join(number(right, right_order), "__n").drop("__n")
+    return numbered(left, left_order, "__row").join(numbered(right, right_order, "__row"), "__row").drop("__row")
 
 
 def clean(df: DataFrame, trims: list[str] = (), ints: list[str] = (), renames: dict[str, str] | None = None) -> DataFrame:
