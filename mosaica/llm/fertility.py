@@ -94,14 +94,15 @@ def judged(docs: DataFrame, k: float = K, least: int = LEAST, folder: str = TOKE
     median = lambda c: F.percentile_approx(c, 0.5, 10_000)
 
     def bands(keys: list[str], tag: str) -> DataFrame:
-        mid = slim.groupBy(keys).agg(F.count("*").alias(f"{tag}n"), *(median(c).alias(f"{tag}{c}_m") for c in three))
+        mid = cut(slim.groupBy(keys).agg(F.count("*").alias(f"{tag}n"), *(median(c).alias(f"{tag}{c}_m") for c in three)), "medians")
         far = slim.join(mid, keys).groupBy(keys).agg(*(median(F.abs(F.col(c) - F.col(f"{tag}{c}_m"))).alias(f"{tag}{c}_d") for c in three))
         return mid.join(far, keys)
 
     both = bands(["g", "o"], "c_").join(bands(["g"], "l_"), "g")
     own = F.col("c_n") >= least
     cols = [F.when(own, F.col(f"c_{c}_{x}")).otherwise(F.col(f"l_{c}_{x}")).alias(f"{PRE}{c}_{x}") for c in three for x in "md"]
-    table = both.select(F.col("g").alias(f"{PRE}g"), F.col("o").alias(f"{PRE}o"), *cols)
+    # written, so that its size is known: a few rows for each language are broadcast, and only a table beyond the threshold is shuffled with the texts
+    table = cut(both.select(F.col("g").alias(f"{PRE}g"), F.col("o").alias(f"{PRE}o"), *cols), "bands")
     out = seen.join(table, (F.col(g) == F.col(f"{PRE}g")) & (octave == F.col(f"{PRE}o")), "left")
 
     def width(c: str):
