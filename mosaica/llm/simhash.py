@@ -41,11 +41,10 @@ def fingerprints_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return out, has
     doc = np.repeat(np.arange(n), np.diff(at))
     h = ranges_hash(raw, starts, ends)
-    bits = max(1, int(n - 1).bit_length())
-    one = np.sort((doc.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
-    one = one[np.concatenate(([True], one[1:] != one[:-1]))]  # each word once a text
-    doc = (one >> np.uint64(64 - bits)).astype(np.int64)
-    h = one << np.uint64(bits)
+    for s, e in zip(at[:-1][has], at[1:][has]):
+        h[s:e].sort()
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))  # each word once a text
+    doc, h = doc[new], h[new]
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     rank = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
     runs = np.flatnonzero(rank % 255 == 0)  # eight counters of 8 bits to a word hold 255

@@ -66,6 +66,25 @@ def test_fingerprint_is_a_majority_of_words():
     assert (more == f).all()  # how often and where a word occurs doesn't count
 
 
+def test_fingerprint_depends_on_its_text_alone():
+    texts = [t for _, t in corpus(70, 6)] + ["", "one", "x " * 9 + "long " + " ".join(f"w{k}" for k in range(9000))]
+    alone = [fingerprints_of(pa.array([t])) for t in texts]
+    for n in (2, 3, 5, 33, len(texts)):
+        for s in range(0, len(texts), n):
+            f, has = fingerprints_of(pa.array(texts[s : s + n]))
+            assert (f == np.concatenate([a for a, _ in alone[s : s + n]])).all()
+            assert has.tolist() == [bool(b[0]) for _, b in alone[s : s + n]]
+
+
+def test_copies_on_both_sides_of_a_batch_border(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(300)) for _ in range(3)]
+    # a partition of one text, a run of many short ones, and runs that a text longer than a part splits off
+    rows = [(0, texts[0]), *((10 + k, f"kurz{k}") for k in range(600)), (1, texts[0]), (2, texts[1]), (3, "long " * 150_000), (4, texts[1]), (5, texts[2]), (6, texts[2])]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows[:1], 1).union(spark.sparkContext.parallelize(rows[1:], 2)), "doc_id long, text string")
+    assert {(x.doc_id, x.kept_id) for x in duplicates(docs, 0).collect()} == {(0, 0), (1, 0), (2, 2), (4, 2), (5, 5), (6, 5)}
+
+
 def test_within_and_forest():
     r = np.random.default_rng(0)
     a = r.integers(0, 2**63, (4, 90)).astype(np.uint64)
