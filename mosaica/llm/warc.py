@@ -3,8 +3,9 @@
 Reading plans partitions of whole files of about ``partitionBytes`` together. Filters on the record type, the target,
 the date, the identifier, the content type, the length and their nullness are pushed down: a record's headers are
 parsed first, and a payload is read, inflated and decoded only if they pass, and only if a payload column is asked
-for. A gzip member that carries its length (the ``sl`` extra field, which the writer sets) is skipped by a seek, an
-uncompressed record by its Content-Length; another member is inflated without being kept.
+for. A gzip member that carries its length (the ``sl`` extra field, which the writer sets) and holds one record is skipped by a
+seek, an uncompressed record by its Content-Length; another member is inflated without being kept. A member may hold any
+number of whole records.
 
 Columns, any of which ``.schema(...)`` may pick: ``record_type, record_id, target_uri, warc_date, content_type``
 (string), ``content_length`` (long), ``headers`` (map of all headers in lower case), ``http_status`` (int),
@@ -15,7 +16,8 @@ Writing takes ``record_type``, ``target_uri``, ``record_id``, ``warc_date``, ``c
 as there are such columns; a task writes one file, under its name once the job commits.
 
 Defined cases: a header without value in the row isn't written and is read as null; a null block is an empty one; line
-ends in header values become blanks; a record cut off at the end of a file raises an error; an empty table gives an
+ends in header values become blanks; a record cut off at the end of a file or gzip member raises an error, as does what is
+no record; an empty table gives an
 empty folder, and an empty folder no rows; other columns are not written.
 """
 
@@ -126,39 +128,49 @@ class Records:
 
     def _member(self, at: int):
         head = self.f.read(24)
-        known = struct.unpack("<I", head[16:20])[0] if head[:2] == b"\x1f\x8b" and len(head) >= 20 and head[3] & 4 and head[12:14] == b"sl" else 0
-        d, raw, data = zlib.decompressobj(31), head, b""
-        while True:
-            data += d.decompress(raw, 4096)
-            got = self._split(data, at)
-            if got or d.eof:
-                break
-            raw = d.unconsumed_tail or self.f.read(_STEP)
-            if not raw:
-                raise ValueError(f"a member is cut off at byte {at}")
-        if not got:
-            raise ValueError(f"no WARC record at byte {at}")
-        self.inflated += len(data)
-        headers, start = got
-        length = int(headers.get("content-length", 0))
-        want = yield headers
-        if not want and known:
-            return at + known
-        pieces, have = [data[start:]], len(data) - start
-        while not d.eof:
-            raw = d.unconsumed_tail or self.f.read(_STEP)
-            if not raw:
-                raise ValueError(f"a member is cut off at byte {at}")
-            piece = d.decompress(raw, 0 if want else _STEP)
+        known, whole = struct.unpack("<II", head[16:24]) if head[:2] == b"\x1f\x8b" and len(head) == 24 and head[3] & 4 and head[12:14] == b"sl" else (0, 0)
+        d, raw = zlib.decompressobj(31), head
+
+        def more(most: int) -> bytes:
+            """At most ``most`` bytes more; none at the member's end."""
+            nonlocal raw
+            piece = b""
+            while not piece and not d.eof:
+                raw = raw or self.f.read(_STEP)
+                if not raw:
+                    raise ValueError(f"a member is cut off at byte {at}")
+                piece = d.decompress(raw, most)
+                raw = d.unconsumed_tail
             self.inflated += len(piece)
-            have += len(piece)
+            return piece
+
+        data, first = b"", True
+        while True:
+            while not (got := self._split(data, at)):
+                piece = more(4096)
+                if not piece:
+                    break
+                data = data + piece if first else (data + piece).lstrip(b"\r\n")
+            if not got:
+                if first or data.strip():
+                    raise ValueError(f"no WARC record, or one cut off, in the member at byte {at}")
+                return self.f.tell() - len(d.unused_data)
+            headers, start = got
+            length = int(headers.get("content-length", 0))
+            want = yield headers
+            if not want and known and first and (start + length + 4) & 0xFFFFFFFF == whole:
+                return at + known  # the record is all of the member
+            pieces, have = [data[start : start + length]], min(len(data) - start, length)
+            data, first = data[start + length :].lstrip(b"\r\n"), False
+            while have < length:
+                piece = more(length - have if want else min(length - have, _STEP))
+                if not piece:
+                    raise ValueError(f"a record is cut off at byte {at}")
+                have += len(piece)
+                if want:
+                    pieces.append(piece)
             if want:
-                pieces.append(piece)
-        if have < length:
-            raise ValueError(f"a record is cut off at byte {at}")
-        if want:
-            yield b"".join(pieces)[:length]
-        return self.f.tell() - len(d.unused_data)
+                yield b"".join(pieces)
 
 
 def http(block: bytes) -> tuple[int | None, dict[str, str] | None, bytes]:

@@ -1,6 +1,8 @@
 """Round trips, pushed filters and skipped payloads."""
 
 import gzip
+import io
+import struct
 import zlib
 
 import pytest
@@ -47,6 +49,36 @@ def test_standard_files(spark, tmp_path):
     assert one.rdd.getNumPartitions() == 2 and one.where("record_type in ('resource', 'x')").count() == 4
 
 
+def test_several_records_in_one_member(spark, tmp_path):
+    """A file that was compressed as a whole, beside members that carry a length and hold several records."""
+    blocks = [b"first", b"", bytes(range(256)) * 2000, b"WARC/1.0\r\n\r\n", b"\r\n\r\n", *(b"%d" % k * 99 for k in range(300))]
+    kinds = ["response" if k % 3 else "request" for k in range(len(blocks))]
+    every = b"".join(map(plain, kinds, blocks))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(every))
+    body = zlib.compress(every, wbits=-15)
+    sl = struct.pack("<H2sHII", 12, b"sl", 8, 24 + len(body) + 8, len(every))
+    tail = struct.pack("<II", zlib.crc32(every), len(every))
+    (tmp_path / "b.warc.gz").write_bytes((b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + sl + body + tail) * 2 + record("response", b"last"))
+    register(spark)
+    read = spark.read.format("warc").load(f"file://{tmp_path}")
+    want = sorted([*zip(kinds, blocks)] * 3 + [("response", b"last")])
+    assert sorted((r.record_type, bytes(r.block)) for r in read.collect()) == want
+    assert sorted(bytes(r.block) for r in read.where("record_type = 'request'").collect()) == [b for k, b in want if k == "request"]
+    assert read.select("record_type").where("content_length > 0").count() == sum(b != b"" for _, b in want)
+
+
+def test_no_record_after_a_record(tmp_path):
+    for rest in (b"junk\r\n\r\n", b"junk", plain("response", b"x" * 99)[:-40], b"WARC/1.0\r\nContent-"):
+        data = gzip.compress(plain("response", b"x") + rest)
+        for want in (True, False):
+            with pytest.raises(ValueError):
+                it = iter(Records(io.BytesIO(data), True, len(data)))
+                next(it)
+                it.send(want)
+                for _ in it:
+                    pass
+
+
 def test_filters_are_pushed(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(plain("response", b"z"))
     register(spark)
