@@ -1,16 +1,18 @@
 """Exact top-k neighbours by distributed histogram selection.
 
-Every row is a query and every row a candidate. Vectors are packed into tiles, and each pair of tiles is scored with one
-matrix product; a score is the cosine as a whole number of 1e-9. Rounds of histograms locate each query's kth score: a
-round counts the scores of the query's present range in 256 bins, over all candidates, and the range becomes the bin in
-which the kth falls. A task sends, of each query, only the bins down to its own kth score, which is no higher than the
-global one. When every range holds few scores or is a single one, scores at or above it are filtered and ranked by
-score, then identifier.
-
-Defined cases: a row without identifier or vector, or with a null, infinite or NaN coordinate, is left out; rows are
-candidates only for queries of the same length; an empty or zero vector has cosine 0 with all; a row is no candidate
-for its own identifier; repeated rows are answered alike and each is a candidate; with fewer than k candidates all are
-given; equal scores go by identifier; an empty table gives an empty result; other columns are not looked at.
+The queries are the rows whose identifier is divisible by ``every`` (100; with 1 all rows), the candidates all rows.
+Vectors are packed into tiles, and each pair of a tile of queries and one of candidates is scored with one matrix
+product; a score is the cosine as a whole number of 1e-9. Rounds of histograms locate each query's kth score: a round
+counts the scores of the query's present range in 2048 bins, over all candidates, and the range becomes the bin in which
+the kth falls. A task sends, of each query, only the bins down to its own kth score, which is no higher than the global
+one. When every range holds few scores or is a single one, scores at or above it are filtered and ranked by score, then
+identifier. The work is queries times rows.
+
+Defined cases: a row without identifier (or with one that is no integer) or vector, or with a null, infinite or NaN
+coordinate, is left out; rows are candidates only for queries of the same length; an empty or zero vector has cosine 0
+with all; a row is no candidate for its own identifier; repeated rows are answered alike and each is a candidate; with
+fewer than k candidates all are given; equal scores go by identifier; an empty table, or one without queries, gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,16 +27,21 @@ from pyspark.sql import functions as F
 from .common import cut
 
 K = 10
+#: Rows whose identifier is divisible by this are the queries.
+EVERY = 100
 TILE = 1024
 UNIT = 10**9
 #: Scores are whole numbers below 2**SPAN; each round fixes BITS of them.
-SPAN, BITS = 32, 8
-#: A range is left as it is when no more scores than this many times k are in it or above.
-SLACK = 4
+SPAN, BITS = 33, 11
+BINS = 1 << BITS
+#: A range is left as it is when no more scores than this many times k are in it or above. Speed only depends on it.
+SLACK = 16
+#: Tiles of queries whose histograms a task holds at a time.
+HELD = 8
 
 
-def _tiles(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``(tile, dim, n, ids, unit)``: up to :data:`TILE` vectors of unit length."""
+def _tiles(vectors: DataFrame, key: str, vector: str, every: int = 1) -> DataFrame:
+    """``(tile, dim, n, ids, unit)``: up to :data:`TILE` vectors of unit length, of the rows whose identifier is divisible by ``every``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -63,7 +70,7 @@ def _tiles(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.col(key).isNotNull() & v.isNotNull()).where(fine).select(F.col(key).cast("long").alias("id"), v.alias("v")).mapInArrow(run, "tile long, dim int, n int, ids binary, unit binary")
+    return vectors.where(v.isNotNull()).where(fine).select(F.expr(f"try_cast(`{key}` as long)").alias("id"), v.alias("v")).where("id is not null").where(f"id % {int(every)} = 0").mapInArrow(run, "tile long, dim int, n int, ids binary, unit binary")
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,14 +94,14 @@ STATE = "tile long, low binary, above binary, level int, open long"
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {}
+    held: dict[int, np.ndarray] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for tile, (hist, _) in held.items():
+        for tile, hist in held.items():
             q, bins = np.nonzero(hist[:, ::-1])
             c = hist[:, ::-1][q, bins]
             keep = _from_top(bins, c, q, k)
-            yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([q[keep].astype(np.int32).tobytes()]), pa.array([(255 - bins[keep]).astype(np.uint8).tobytes()]), pa.array([c[keep].astype(np.int64).tobytes()])], names=["tile", "q", "bins", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([q[keep].astype(np.int32).tobytes()]), pa.array([(BINS - 1 - bins[keep]).astype(np.uint16).tobytes()]), pa.array([c[keep].astype(np.int64).tobytes()])], names=["tile", "q", "bins", "counts"])
         held.clear()
 
     for b in batches:
@@ -102,15 +109,15 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             _, _, s = _scores(row)
             low, shift = np.frombuffer(row["low"], np.int64), SPAN - BITS * (row["level"] + 1)
             x = (s - low[:, None]) >> shift
-            ok = (s > 0) & (x >= 0) & (x < 256)
+            ok = (s > 0) & (x >= 0) & (x < BINS)
             q, _ = np.nonzero(ok)
-            h = np.bincount(q * 256 + x[ok], minlength=256 * len(low)).reshape(-1, 256)
+            h = np.bincount(q * BINS + x[ok], minlength=BINS * len(low)).reshape(-1, BINS)
             if row["tile"] in held:
-                held[row["tile"]][0] += h
+                held[row["tile"]] += h
             else:
-                if len(held) >= 32:
+                if len(held) >= HELD:
                     yield from out()
-                held[row["tile"]] = [h, None]
+                held[row["tile"]] = h
     yield from out()
 
 
@@ -118,16 +125,16 @@ def _narrow(k: int):
     def run(t: pa.Table) -> pa.Table:
         first = t.slice(0, 1).to_pylist()[0]
         low, above, level = np.frombuffer(first["low"], np.int64).copy(), np.frombuffer(first["above"], np.int64).copy(), first["level"]
-        hist = np.zeros((len(low), 256), np.int64)
+        hist = np.zeros((len(low), BINS), np.int64)
         for r in t.select(["q", "bins", "counts"]).to_pylist():
             if r["q"] is not None:
-                np.add.at(hist, (np.frombuffer(r["q"], np.int32), np.frombuffer(r["bins"], np.uint8)), np.frombuffer(r["counts"], np.int64))
+                np.add.at(hist, (np.frombuffer(r["q"], np.int32), np.frombuffer(r["bins"], np.uint16)), np.frombuffer(r["counts"], np.int64))
         down = np.cumsum(hist[:, ::-1], axis=1) + above[:, None]
         reached = down >= k
-        at = np.where(reached.any(1), reached.argmax(1), 255)  # with fewer than k candidates, the lowest bin
+        at = np.where(reached.any(1), reached.argmax(1), BINS - 1)  # with fewer than k candidates, the lowest bin
         rows = np.arange(len(low))
         upto = down[rows, at]
-        low += (255 - at) << (SPAN - BITS * (level + 1))
+        low += (BINS - 1 - at) << (SPAN - BITS * (level + 1))
         above = np.where(at > 0, down[rows, np.maximum(at - 1, 0)], above)
         return pa.table({"tile": [first["tile"]], "low": [low.tobytes()], "above": [above.tobytes()], "level": pa.array([level + 1], pa.int32()), "open": [int((upto > SLACK * k).sum())]})
 
@@ -149,10 +156,11 @@ def _filtered(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), row["tile"])), pa.array(q.astype(np.int64)), pa.array(ids[q]), pa.array(ids2[c]), pa.array(score - (UNIT + 1))], names=["tile", "q", "id", "neighbour", "score"])
 
 
-def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(<key>, neighbour_id, rank, similarity)``: every row's k most similar rows by cosine, rounded to 1e-6."""
-    tiles = cut(_tiles(vectors, key, vector), "tiles")
-    other = tiles.select(*(F.col(c).alias(f"{c}2") for c in tiles.columns))
+def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", every: int = EVERY) -> DataFrame:
+    """``(<key>, neighbour_id, rank, similarity)``: every query's k most similar rows by cosine, rounded to 1e-6."""
+    tiles = cut(_tiles(vectors, key, vector, every), "queries")
+    every_row = cut(_tiles(vectors, key, vector), "tiles")
+    other = every_row.select(*(F.col(c).alias(f"{c}2") for c in every_row.columns))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +174,7 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
         return left.crossJoin(other).where("dim >= dim2 and dim <= dim2")  # an equality would hash all tiles to one task
 
     state = cut(tiles.select("tile", "n").mapInArrow(start, STATE), "state")
-    for _ in range(SPAN // BITS):
+    for _ in range(SPAN // BITS):  # at most three rounds over all pairs of tiles
         if not state.where("open > 0").limit(1).count():
             break
         hist = pairs(state, True).mapInArrow(lambda b: _histograms(b, k), "tile long, q binary, bins binary, counts binary")
@@ -180,7 +188,7 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
 #: :func:`top_k` of ``embeddings`` with its defaults, for DuckDB.
 TOP_K_SQL = f"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS rank FROM s)
 SELECT vec_id, neighbour_id, rank::INTEGER AS rank, round(score, 6) AS similarity FROM r WHERE rank <= {K}
 """
