@@ -5,20 +5,27 @@ the date, the identifier, the content type, the length and their nullness are pu
 parsed first, and a payload is read, inflated and decoded only if they pass, and only if a payload column is asked
 for. A gzip member that carries its length (the ``sl`` extra field, which the writer sets) and holds one record is skipped by a
 seek, an uncompressed record by its Content-Length; another member is inflated without being kept. A member may hold any
-number of whole records.
+number of whole records. Pushed filters follow SQL's rules for nulls.
 
 Columns, any of which ``.schema(...)`` may pick: ``record_type, record_id, target_uri, warc_date, content_type``
 (string), ``content_length`` (long), ``headers`` (map of all headers in lower case), ``http_status`` (int),
 ``http_headers`` (map), ``block`` (binary, the record as it stands), ``body`` (binary, without HTTP headers, chunks and
-content encoding).
+content encoding), ``malformed`` (string, null for a good record).
+
+Malformed records: those that don't begin with ``WARC/``, without a Content-Length of digits, with over 1 MB of headers,
+cut off at the end of a file or gzip member, and broken gzip members. With the option ``mode`` = ``failfast`` (the default) the
+first one raises an error with its place; with ``permissive`` reading goes on at the next line that begins with ``WARC/``, or
+the next member, and a malformed record is a row with the reason in ``malformed`` and nulls elsewhere (but for the headers, where
+those were good) if that column is read, so that they can be counted, and no row if it isn't. No malformed record: lines that
+end in LF alone, and blank lines before, between and after records.
 
 Writing takes ``record_type``, ``target_uri``, ``record_id``, ``warc_date``, ``content_type``, ``block`` and ``headers`` as far
 as there are such columns; a task writes one file, under its name once the job commits.
 
 Defined cases: a header without value in the row isn't written and is read as null; a null block is an empty one; line
-ends in header values become blanks; a record cut off at the end of a file or gzip member raises an error, as does what is
-no record; an empty table gives an
-empty folder, and an empty folder no rows; other columns are not written.
+ends in header values become blanks; values of a repeated header are joined by a comma; an empty table gives an empty folder,
+and an empty folder no rows; other columns are not written; a ``page_id`` of another type goes as its text and comes back as
+null where that is no integer.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, content_type string, content_length long, headers map<string,string>, http_status int, http_headers map<string,string>, block binary, body binary"
+SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, content_type string, content_length long, headers map<string,string>, http_status int, http_headers map<string,string>, block binary, body binary, malformed string"
 _FIELDS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "content_type": "content-type"}
 _NAMES = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type"}
 _PAYLOAD = {"http_status", "http_headers", "block", "body"}
@@ -49,33 +56,34 @@ def _fs(path: str):
 
 
 def parse_headers(data: bytes) -> dict[str, str]:
-    """Header lines -> lower-case name: value; folded lines are joined, and of a repeated name the first stays."""
+    """Header lines -> lower-case name: value; folded lines are joined, and so are the values of a repeated name, by a comma."""
     out: dict[str, str] = {}
     last = None
-    for line in data.decode("utf-8", "replace").split("\r\n"):
+    for line in data.decode("utf-8", "replace").replace("\r\n", "\n").split("\n"):
         if line[:1] in (" ", "\t") and last:
             out[last] += " " + line.strip()
         elif ":" in line:
             name, value = line.split(":", 1)
             last = name.strip().lower()
-            out.setdefault(last, value.strip())
+            out[last] = f"{out[last]}, {value.strip()}" if last in out else value.strip()
     return out
 
 
-def passes(f, row: dict) -> bool:
-    """Whether a row of header columns passes a pushed filter; null passes nothing but IsNull."""
+def passes(f, row: dict) -> bool | None:
+    """Whether a row of header columns passes a pushed filter, None where SQL says null; only True keeps a row."""
     if isinstance(f, Not):
-        return row[f.child.attribute[0]] is not None and not passes(f.child, row)
+        inner = passes(f.child, row)
+        return None if inner is None else not inner
     v = row[f.attribute[0]]
-    if isinstance(f, IsNull):
-        return v is None
+    if isinstance(f, (IsNull, IsNotNull)):
+        return (v is None) == isinstance(f, IsNull)
     if v is None:
-        return False
-    if isinstance(f, IsNotNull):
-        return True
+        return None
     if isinstance(f, In):
-        return v in f.value
+        return True if v in [x for x in f.value if x is not None] else None if None in f.value else False
     x = f.value
+    if x is None:
+        return None
     return {EqualTo: lambda: v == x, GreaterThan: lambda: v > x, GreaterThanOrEqual: lambda: v >= x, LessThan: lambda: v < x, LessThanOrEqual: lambda: v <= x, StringStartsWith: lambda: v.startswith(x), StringEndsWith: lambda: v.endswith(x), StringContains: lambda: x in v}[type(f)]()
 
 
@@ -87,44 +95,93 @@ class Files(InputPartition):
     paths: list[str]
 
 
+class Malformed(Exception):
+    """What is wrong with a record, and the byte of the file at which it, or its gzip member, begins."""
+
+    def __init__(self, why: str, at: int):
+        super().__init__(f"{why} at byte {at}")
+        self.at = at
+
+
+#: A header block that is longer is no header block.
+MOST_HEADER = 1 << 20
+_NEXT = b"\nWARC/"
+
+
+def _head(data: bytes, at: int, ended: bool = False) -> tuple[dict[str, str], int, int] | None:
+    """Headers, where the block starts and how long it is; None as long as more bytes are needed. Lines may end in LF alone."""
+    if not data.startswith(b"WARC/"[: len(data)]) or (ended and len(data) < 5):
+        raise Malformed("no WARC record", at)
+    ends = [(data.find(sep), len(sep)) for sep in (b"\r\n\r\n", b"\n\n")]
+    if not (ends := [x for x in ends if x[0] >= 0]):
+        if ended or len(data) > MOST_HEADER:
+            raise Malformed("a record is cut off", at)
+        return None
+    end, width = min(ends)
+    headers = parse_headers(data[data.index(b"\n") + 1 : end] if b"\n" in data[:end] else b"")
+    length = headers.get("content-length", "")
+    if not (length.isascii() and length.isdigit()) or len(length) > 18:
+        raise Malformed(f"Content-Length is {length[:40]!r}", at)
+    return headers, end + width, int(length)
+
+
 class Records:
-    """The records of one file: headers first, then the block if it is wanted. Counts what it inflates."""
+    """The records of one file: headers first, then the block if it is wanted. Counts what it inflates.
+
+    With ``permissive`` a malformed record comes as :class:`Malformed`, in place of its headers or its block, and reading goes on
+    at the next line that begins with ``WARC/`` (or, where a gzip member is broken, at the next member); else it is raised.
+    """
 
-    def __init__(self, f, gz: bool, size: int):
-        self.f, self.gz, self.size, self.inflated = f, gz, size, 0
+    def __init__(self, f, gz: bool, size: int, permissive: bool = False):
+        self.f, self.gz, self.size, self.permissive, self.inflated = f, gz, size, permissive, 0
 
     def __iter__(self):
         at = 0
         while at < self.size:
             self.f.seek(at)
-            at = yield from (self._member(at) if self.gz else self._record(at))
-
-    def _split(self, data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-        end = data.find(b"\r\n\r\n")
-        if end < 0:
-            return None
-        if not data.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        return parse_headers(data[data.index(b"\r\n") + 2 : end]), end + 4
+            try:
+                at = yield from (self._member(at) if self.gz else self._record(at))
+            except (Malformed, zlib.error) as e:
+                e = e if isinstance(e, Malformed) else Malformed(f"a gzip member is broken ({e})", at)
+                if not self.permissive:
+                    raise ValueError(str(e)) from e
+                yield e
+                at = self._resume(max(at, e.at) + 1, b"\x1f\x8b\x08" if self.gz else _NEXT)
+
+    def _resume(self, at: int, mark: bytes) -> int:
+        """Where the mark next occurs from ``at`` on, or the end of the file."""
+        self.f.seek(at)
+        held = b""
+        while True:
+            piece = self.f.read(_STEP)
+            if not piece:
+                return self.size
+            held += piece
+            if (k := held.find(mark)) >= 0:
+                return at + k + (1 if mark is _NEXT else 0)
+            keep = len(mark) - 1
+            at, held = at + len(held) - keep, held[-keep:]
 
     def _record(self, at: int):
-        data = b""
-        while not (got := self._split(data, at)):
-            more = self.f.read(4096)
+        data, more = b"", True
+        while True:
+            blank = len(data) - len(data.lstrip(b"\r\n"))
+            at, data = at + blank, data[blank:]  # blank lines before a record are none of it
+            if data and (got := _head(data, at, not more)):
+                break
             if not more:
-                if data.strip():
-                    raise ValueError(f"a record is cut off at byte {at}")
                 return self.size
+            more = self.f.read(4096)
             data += more
-        headers, start = got
-        length = int(headers.get("content-length", 0))
+        headers, start, length = got
         if at + start + length > self.size:
-            raise ValueError(f"a record is cut off at byte {at}")
+            raise Malformed("a record is cut off", at)
         want = yield headers
         if want:
             block = data[start : start + length]
+            self.f.seek(at + start + len(block))
             yield block + (self.f.read(length - len(block)) if length > len(block) else b"")
-        return at + start + length + 4
+        return at + start + length
 
     def _member(self, at: int):
         head = self.f.read(24)
@@ -138,39 +195,54 @@ class Records:
             while not piece and not d.eof:
                 raw = raw or self.f.read(_STEP)
                 if not raw:
-                    raise ValueError(f"a member is cut off at byte {at}")
+                    raise Malformed("a gzip member is cut off", at)
                 piece = d.decompress(raw, most)
                 raw = d.unconsumed_tail
             self.inflated += len(piece)
             return piece
 
-        data, first = b"", True
+        data, first, ended, lost = b"", True, False, False
         while True:
-            while not (got := self._split(data, at)):
-                piece = more(4096)
-                if not piece:
-                    break
-                data = data + piece if first else (data + piece).lstrip(b"\r\n")
-            if not got:
-                if first or data.strip():
-                    raise ValueError(f"no WARC record, or one cut off, in the member at byte {at}")
-                return self.f.tell() - len(d.unused_data)
-            headers, start = got
-            length = int(headers.get("content-length", 0))
-            want = yield headers
-            if not want and known and first and (start + length + 4) & 0xFFFFFFFF == whole:
-                return at + known  # the record is all of the member
-            pieces, have = [data[start : start + length]], min(len(data) - start, length)
-            data, first = data[start + length :].lstrip(b"\r\n"), False
-            while have < length:
-                piece = more(length - have if want else min(length - have, _STEP))
-                if not piece:
-                    raise ValueError(f"a record is cut off at byte {at}")
-                have += len(piece)
+            try:
+                got = None
+                while not got:
+                    if lost:  # behind a malformed record
+                        k = data.find(_NEXT)
+                        data, lost = (data[k + 1 :], False) if k >= 0 else (data[1 - len(_NEXT) :], True)
+                    else:
+                        data = data.lstrip(b"\r\n")
+                        got = _head(data, at, ended) if data else None
+                    if got or (ended and (lost or not data)):
+                        break
+                    if ended:
+                        continue
+                    piece = more(4096)
+                    data, ended = data + piece, not piece
+                if not got:
+                    if first:
+                        raise Malformed("no WARC record in the member", at)
+                    return self.f.tell() - len(d.unused_data)
+                headers, start, length = got
+                want = yield headers
+                if not want and known and first and (start + length + 4) & 0xFFFFFFFF == whole:
+                    return at + known  # the record is all of the member
+                pieces, have = [data[start : start + length]], min(len(data) - start, length)
+                data, first = data[start + length :], False
+                while have < length:
+                    piece = more(length - have if want else min(length - have, _STEP))
+                    if not piece:
+                        ended = True
+                        raise Malformed("a record is cut off", at)
+                    have += len(piece)
+                    if want:
+                        pieces.append(piece)
                 if want:
-                    pieces.append(piece)
-            if want:
-                yield b"".join(pieces)
+                    yield b"".join(pieces)
+            except Malformed as e:
+                if not self.permissive or (not ended and d.eof is False and "gzip" in str(e)):
+                    raise
+                yield e
+                data, first, lost = data[1:], False, True
 
 
 def http(block: bytes) -> tuple[int | None, dict[str, str] | None, bytes]:
@@ -205,6 +277,10 @@ class WarcReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.schema = options["path"], schema
         self.most = int(options.get("partitionBytes", PARTITION_BYTES))
+        mode = options.get("mode", "failfast").lower()
+        if mode not in ("failfast", "permissive"):
+            raise ValueError(f"mode is {mode!r}; it can be failfast or permissive")
+        self.permissive = mode == "permissive"
         self.filters: list = []
 
     def pushFilters(self, filters):
@@ -241,22 +317,29 @@ class WarcReader(DataSourceReader):
         where = _fs(self.path)[0]
         for path in partition.paths:
             with where.open_input_file(path) as f:
-                records = iter(Records(f, path.endswith(".gz"), f.size()))
+                records = iter(Records(f, path.endswith(".gz"), f.size(), self.permissive))
                 answer = None
                 while True:
                     try:
                         headers = records.send(answer)
                     except StopIteration:
                         break
-                    row = {c: headers.get(h) for c, h in _FIELDS.items()}
-                    row["content_length"] = int(headers.get("content-length", 0))
-                    answer = False
+                    answer, bad = None, headers if isinstance(headers, Malformed) else None
+                    row = dict.fromkeys((*_FIELDS, "content_length", *names))
+                    if not bad:
+                        row |= {c: headers.get(h) for c, h in _FIELDS.items()} | {"content_length": int(headers["content-length"])}
                     if not all(passes(x, row) for x in self.filters):
                         continue
-                    row["headers"] = headers
-                    if payload:
-                        row["block"] = records.send(True)
-                        answer = None
+                    if not bad:
+                        row["headers"] = headers
+                        if payload:
+                            row["block"] = records.send(True)
+                            bad = row["block"] if isinstance(row["block"], Malformed) else None
+                    if bad:  # a row of nothing but the reason, or of the headers without a block
+                        if "malformed" not in names:
+                            continue
+                        row |= {"malformed": f"{path}: {bad}", "block": None}
+                    elif payload:
                         if {"http_status", "http_headers", "body"} & set(names):
                             row["http_status"], row["http_headers"], row["body"] = http(row["block"])
                         held += len(row["block"])
@@ -368,7 +451,7 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
     read = spark.read.format("warc").schema("record_type string, target_uri string, content_type string, headers map<string,string>, body binary").load(path)
     got = read.where("record_type = 'response'").where(F.col("content_type").startswith("application/http"))
-    return got.select(F.col("headers")["x-page-id"].cast("long").alias("page_id"), F.col("target_uri").alias("url"), F.decode("body", "UTF-8").alias("html"))
+    return got.select(F.expr("try_cast(headers['x-page-id'] as long)").alias("page_id"), F.col("target_uri").alias("url"), F.decode("body", "UTF-8").alias("html"))
 
 
 #: :func:`responses` of ``pages``, for DuckDB.
