@@ -1,7 +1,8 @@
 """What the operators of this subpackage share: lineage cuts, row keys and vectorised word hashing.
 
 Row keys. A row of a document table is known by its integer ``doc_id`` and a hash of its text. Rows that repeat both
-are one document. A null ``doc_id`` takes part under :data:`NO_ID`; a null text is an empty text.
+are one document. A null ``doc_id`` takes part under :data:`NO_ID`, and so does one that is no integer, such as ``"a-1"``; a null
+text is an empty text.
 """
 
 from __future__ import annotations
@@ -37,10 +38,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def long_id():
+    """``doc_id`` as a long; null where it is no integer."""
+    return F.expr("try_cast(doc_id as long)")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with its row key in front, under names that no input column has."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(ID), F.xxhash64(text).alias(KEY), "*")
+    return docs.select(F.coalesce(long_id(), F.lit(NO_ID)).alias(ID), F.xxhash64(text).alias(KEY), "*")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
