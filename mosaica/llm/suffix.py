@@ -1,19 +1,27 @@
 """Repeated passages by a depth-limited radix sort of suffixes.
 
 A suffix is ordered only through its first ``threshold`` words (its window), most significant digit first; suffixes
-that are still equal after the last pass are exactly the windows that repeat. A digit is the hash of ten words. Every
-window starts its order at the digit with the least hash in it (its anchor), so that equal windows start with the same
-digit and one suffix in about twenty stands for its neighbours in the first pass:
+that are still equal after the last pass are exactly the windows that repeat. A window's digits are the ten words whose
+hash is least among its tens of words (its anchor), then the first half of its words, then the second. Equal windows have
+equal anchors at equal places, and one anchor stands for the twenty windows around it on average, so that the first pass
+moves one suffix in about twenty:
 
-1. all anchors are grouped by their digit; a digit that occurs once in the corpus ends its windows there;
-2. the windows left over are sorted by anchor digit, then through the threshold by the hash of all their words; equal
-   groups are the repeated windows, and the least ``(doc_id, position)`` of a group is its first occurrence.
+1. anchors are counted over the corpus; a digit that occurs once ends its windows there;
+2. the windows left over, all of an anchor's in one row, are sorted by the first digit; within a digit by the second,
+   which ends the windows that are alone; and those left by the third. Equal groups are the repeated windows, and the least
+   ``(doc_id, position)`` of a group is its first occurrence.
 
-Words are runs of bytes between ASCII white space, compared as they stand. Windows compare by 128 bits of hash.
+A digit with more than :data:`HOT` anchors (a notice that a third of all texts carry) isn't sorted in one task: its windows
+are subdivided by their further digits at once, grouped with partial aggregates for their first occurrence, and joined
+with it; an adaptive skew join splits a passage that is frequent as a whole. Both ways give the same rows.
+
+Words are runs of bytes between ASCII white space, compared as they stand, by 64 bits of hash for each digit: 192 bits that
+cover every word of a window, most of them twice. Texts aren't compared again: moving the words of the windows would take more
+disk than the texts themselves.
 
 Defined cases: texts shorter than the threshold, empty and null ones have no window; a passage that repeats within one
-document counts as repeated; rows that repeat ``doc_id`` and text are one document; a null ``doc_id`` comes first; an
-empty table gives an empty result; other columns pass through, whatever their names.
+document counts as repeated; rows that repeat ``doc_id`` and text are one document; a null ``doc_id`` (or one that is no
+integer) comes first; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, SOLID, flat, keyed, mix, parts, ranges_hash, real_id, texts_of, tidy, words
+from .common import ID, KEY, SOLID, cut, flat, keyed, mix, parts, ranges_hash, real_id, texts_of, tidy, words
 
 #: A passage is repeated if this many words in a row are.
 THRESHOLD = 50
 DIGIT = 10
+#: Anchors of a digit beyond which its windows are not sorted in one task. The result doesn't depend on it.
+HOT = 20_000
+RUNS = f"{ID} long, {KEY} long, pos long, n long, first_id long, first_key long, first_pos long"
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -83,13 +94,17 @@ def _pass_one(docs: DataFrame, threshold: int) -> DataFrame:
     return texts_of(docs).mapInArrow(tidy(run), f"digit long, {ID} long, {KEY} long, n long")
 
 
-def _suffixes(texts: DataFrame, threshold: int) -> DataFrame:
-    """``(digit, __llm_id, __llm_key, pos, hashes)``: of the documents' windows whose anchor digit is in ``digits``, those of each anchor, from window ``pos`` on."""
+def _windows(texts: DataFrame, threshold: int, which: str, single: bool) -> DataFrame:
+    """Of the windows whose anchor digit is in the column ``which``, those of each anchor, from window ``pos`` on: ``(digit, __llm_id, __llm_key, pos, rest)``.
+
+    ``rest`` has 16 bytes for each window, its second and third digit; with ``single`` each window is a row, ``(digit, second, third, ...)``.
+    """
+    half = threshold // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             w = Windows(b.column("text"), threshold)
-            lists = b.column("digits")
+            lists = b.column(which)
             listed = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             of = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             salt = mix(np.arange(b.num_rows, dtype=np.uint64))
@@ -97,85 +112,97 @@ def _suffixes(texts: DataFrame, threshold: int) -> DataFrame:
             i = i[np.isin(w.least[i] ^ salt[w.doc[i]], listed ^ salt[of])]
             if not len(i):
                 continue
+            second, third = ranges_hash(w.word, i, i + half), ranges_hash(w.word, i + half, i + threshold)
+            if single:
+                doc = w.doc[i]
+                rows = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (w.least[i], second, third)), b.column(ID).take(rows), b.column(KEY).take(rows), pa.array((i - w.at[doc]).astype(np.int64))], names=["digit", "second", "third", ID, KEY, "pos"])
+                continue
             anchors = np.flatnonzero(w.anchor)
             a = np.searchsorted(anchors, i)
             while len(wrong := np.flatnonzero(w.digit[anchors[a]] != w.least[i])):
                 a[wrong] += 1
             new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (i[1:] != i[:-1] + 1) | (w.doc[i[1:]] != w.doc[i[:-1]]))))
-            hashes = np.ascontiguousarray(ranges_hash(w.word, i, i + threshold))
-            ends = np.append(new, len(i)).astype(np.int32) * 8
-            blob = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(hashes.tobytes())])
+            rest = np.stack([second, third], axis=1)
+            ends = np.append(new, len(i)).astype(np.int32) * 16
+            blob = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rest.tobytes())])
             doc = w.doc[i[new]]
             rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(w.least[i[new]].view(np.int64)), b.column(ID).take(rows), b.column(KEY).take(rows), pa.array((i[new] - w.at[doc]).astype(np.int64)), blob], names=["digit", ID, KEY, "pos", "hashes"])
-
-    return texts.mapInArrow(tidy(run), f"digit long, {ID} long, {KEY} long, pos long, hashes binary")
+            yield pa.RecordBatch.from_arrays([pa.array(w.least[i[new]].view(np.int64)), b.column(ID).take(rows), b.column(KEY).take(rows), pa.array((i[new] - w.at[doc]).astype(np.int64)), blob], names=["digit", ID, KEY, "pos", "rest"])
+
+    return texts.mapInArrow(tidy(run), f"digit long, {'second long, third long, ' if single else ''}{ID} long, {KEY} long, pos long" + ("" if single else ", rest binary"))
+
+
+def _equal(group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass: ``(order, group)`` of the elements that share group and digit with another; order is stable."""
+    order = np.lexsort((digit, group))
+    g, d = group[order], digit[order]
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]))) if len(order) else np.zeros(0, bool)
+    number = np.cumsum(new) - 1
+    many = np.bincount(number)[number] > 1 if len(order) else new
+    return order[many], number[many]
+
+
+def _sorted_digits(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The second and third pass over whole digits; rows come sorted by digit, document and position."""
+    digit, blob = b.column("digit").to_numpy(), b.column("rest")
+    off = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + b.num_rows + 1]
+    rest = np.frombuffer(blob.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint64).reshape(-1, 2)
+    count = np.diff(off) // 16
+    row = np.repeat(np.arange(b.num_rows), count)
+    at, group = _equal((np.cumsum(np.concatenate(([0], digit[1:] != digit[:-1]))))[row], rest[:, 0])
+    o, group = _equal(group, rest[at, 1])
+    at = at[o]
+    if not len(at):
+        return
+    r = row[at]
+    own = np.stack([b.column(ID).to_numpy()[r], b.column(KEY).to_numpy()[r], b.column("pos").to_numpy()[r] + at - (np.cumsum(count) - count)[r]], axis=1)
+    lead = np.concatenate(([True], group[1:] != group[:-1]))
+    out = np.concatenate([own, own[np.flatnonzero(lead)[np.cumsum(lead) - 1]]], axis=1)
+    out = out[np.lexsort((out[:, 2], out[:, 1], out[:, 0]))]
+    step = np.concatenate(([True], (out[1:, :2] != out[:-1, :2]).any(1) | (out[1:, 2] != out[:-1, 2] + 1) | (out[1:, 3:5] != out[:-1, 3:5]).any(1) | (out[1:, 5] != out[:-1, 5] + 1)))
+    s = np.flatnonzero(step)
+    n = np.diff(np.append(s, len(out)))
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[s, c])) for c in range(3)] + [pa.array(n)] + [pa.array(np.ascontiguousarray(out[s, c])) for c in range(3, 6)], names=[ID, KEY, "pos", "n", "first_id", "first_key", "first_pos"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes sorted by digit, document and position -> repeated windows in runs, each with its first occurrence.
-
-    What is kept between batches is the distinct windows of the digit that is under way, not their occurrences.
-    """
-    open_digit, known, at, said = None, np.zeros(0, np.uint64), np.zeros((0, 3), np.int64), np.zeros(0, bool)
+    """Repeated windows in runs, each with its first occurrence. Between batches the rows of the digit under way are kept: :data:`HOT` at most."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
         digit = b.column("digit").to_numpy()
-        bin_ = b.column("hashes")
-        off = np.frombuffer(bin_.buffers()[1], np.int32)[bin_.offset : bin_.offset + b.num_rows + 1]
-        h = np.frombuffer(bin_.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint64)
-        count = np.diff(off) // 8
-        row = np.repeat(np.arange(b.num_rows), count)
-        first_of_row = np.cumsum(count) - count
-        own = np.stack([b.column(ID).to_numpy()[row], b.column(KEY).to_numpy()[row], b.column("pos").to_numpy()[row] + np.arange(len(row)) - first_of_row[row]], axis=1)
-        key = mix(h ^ mix(digit.view(np.uint64))[row])
-        order = np.argsort(key, kind="stable")  # rows stay in order within equal windows
-        k = key[order]
-        new = np.concatenate(([True], k[1:] != k[:-1]))
-        lead = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        first = own[order[lead]]
-        old = np.zeros(len(lead), bool)
-        told = np.zeros(len(lead), bool)
-        if len(known) and digit[0] == open_digit:
-            spot = np.minimum(np.searchsorted(known, k[lead]), len(known) - 1)
-            old = known[spot] == k[lead]
-            first[old] = at[spot[old]]
-            told[old] = said[spot[old]]
-        mine = own[order]
-        other = (mine != first[group]).any(axis=1)  # a repeated row is its own first
-        repeated = np.zeros(len(lead), bool)
-        repeated[group[other]] = True
-        tell = repeated & ~told
-        out = np.concatenate([np.concatenate([mine[other], first[group[other]]], axis=1), np.concatenate([first[tell], first[tell]], axis=1)])
-        # carry what the last digit of this batch has so far
-        last = digit[-1]
-        in_last = digit[row[order[lead]]] == last
-        kk, aa, ss = k[lead][in_last], first[in_last], (told | repeated)[in_last]
-        if last == open_digit and len(known):
-            rest = ~np.isin(known, kk)
-            kk, aa, ss = np.concatenate([kk, known[rest]]), np.concatenate([aa, at[rest]]), np.concatenate([ss, said[rest]])
-        sort = np.argsort(kk)
-        open_digit, known, at, said = last, kk[sort], aa[sort], ss[sort]
-        if len(out):
-            out = out[np.lexsort((out[:, 2], out[:, 1], out[:, 0]))]
-            step = np.concatenate(([True], (out[1:, :2] != out[:-1, :2]).any(1) | (out[1:, 2] != out[:-1, 2] + 1) | (out[1:, 3:5] != out[:-1, 3:5]).any(1) | (out[1:, 5] != out[:-1, 5] + 1)))
-            s = np.flatnonzero(step)
-            n = np.diff(np.append(s, len(out)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[s, c])) for c in range(3)] + [pa.array(n)] + [pa.array(np.ascontiguousarray(out[s, c])) for c in range(3, 6)], names=[ID, KEY, "pos", "n", "first_id", "first_key", "first_pos"])
+        if held and held[-1].column("digit")[-1].as_py() != digit[0]:
+            yield from _sorted_digits(pa.concat_batches(held))
+            held = []
+        begin = int(np.searchsorted(digit, digit[-1]))  # of the last digit
+        if begin:
+            yield from _sorted_digits(pa.concat_batches([*held, b.slice(0, begin)]))
+            held = []
+        held.append(b.slice(begin))
+    if held:
+        yield from _sorted_digits(pa.concat_batches(held))
 
 
 def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``(__llm_id, __llm_key, pos, n, first_id, first_key, first_pos)``: ``n`` repeated windows in a row from word ``pos`` on, and where they first occur."""
     if threshold < DIGIT:
         raise ValueError(f"threshold must be at least {DIGIT}")
-    at = Window.partitionBy("digit")
-    repeated = _pass_one(docs, threshold).withColumn("of", F.sum("n").over(at)).where("of > 1")
-    lists = repeated.groupBy(ID, KEY).agg(F.collect_set("digit").alias("digits"))
-    texts = texts_of(docs).join(lists, [ID, KEY])
-    suffixes = _suffixes(texts, threshold).repartition("digit").sortWithinPartitions("digit", ID, KEY, "pos")
-    return suffixes.mapInArrow(tidy(_runs), f"{ID} long, {KEY} long, pos long, n long, first_id long, first_key long, first_pos long")
+    anchors = _pass_one(docs, threshold).groupBy("digit", ID, KEY).agg(F.max("n").alias("n"))  # repeated rows once
+    often = anchors.groupBy("digit").agg(F.sum("n").alias("of")).where("of > 1")
+    hot = F.col("of") > HOT
+    lists = anchors.join(often, "digit").groupBy(ID, KEY).agg(F.collect_list(F.when(~hot, F.col("digit"))).alias("cold"), F.collect_list(F.when(hot, F.col("digit"))).alias("hot"))
+    lists = cut(lists, "digits")
+    texts = texts_of(docs).groupBy(ID, KEY).agg(F.first("text").alias("text")).join(lists, [ID, KEY])
+    found = _windows(texts, threshold, "cold", False).repartition("digit").sortWithinPartitions("digit", ID, KEY, "pos").mapInArrow(tidy(_runs), RUNS)
+    if not lists.where(F.size("hot") > 0).limit(1).count():
+        return found
+    digits = ["digit", "second", "third"]
+    every = cut(_windows(texts, threshold, "hot", True), "hot")
+    first = every.groupBy(*digits).agg(F.min(F.struct(ID, KEY, "pos")).alias("f"), F.count("*").alias("of")).where("of > 1")
+    many = every.join(first, digits).select(ID, KEY, "pos", F.lit(1).cast("long").alias("n"), F.col(f"f.{ID}").alias("first_id"), F.col(f"f.{KEY}").alias("first_key"), F.col("f.pos").alias("first_pos"))
+    return found.unionByName(many)
 
 
 def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 from collections import defaultdict
 
+import pytest
+
+from mosaica.llm import suffix
 from mosaica.llm.suffix import drop_repeats, repeated_windows, spans
 
 
@@ -53,6 +56,46 @@ def test_windows_match_brute_force(spark):
         assert found(spark, rows, t) == brute(rows, t)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 40])
+def test_hot_digits_give_the_same(spark, monkeypatch, hot):
+    rows = corpus(50, 8) + [(1000 + i, " ".join(f"p{k}" for k in range(70)) + f" {i}") for i in range(60)]
+    monkeypatch.setattr(suffix, "HOT", hot)
+    assert found(spark, rows, 50) == brute(rows, 50)
+    assert spans_of(spark, rows) == brute_spans(rows, 50)
+
+
+def spans_of(spark, rows, t=50):
+    return {tuple(r) for r in spans(spark.createDataFrame(rows, "doc_id long, text string"), t).collect()}
+
+
+def brute_spans(rows, t):
+    """Runs of repeated windows that first occur in a row in one place."""
+    first, out = brute(rows, t), set()
+    for (i, p), (j, q) in first.items():
+        if first.get((i, p - 1)) == (j, q - 1):
+            continue
+        n = 1
+        while first.get((i, p + n)) == (j, q + n):
+            n += 1
+        out.add((i, p, n + t - 1, j, q))
+    return out
+
+
+@pytest.mark.parametrize("t", [10, 23, 50])
+def test_spans_match_brute_force(spark, t):
+    rows = corpus(70, 9) + [(500, "same " * 300), (501, "a b " * 90), (502, "a b " * 70)]  # long runs and ties
+    assert spans_of(spark, rows, t) == brute_spans(rows, t)
+
+
+def test_long_texts_and_a_hot_document(spark):
+    r = random.Random(4)
+    w = [f"w{r.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[70_000:70_200])), *[(3, "again " + " ".join(w[:60]))] * 150, (4, " ".join(w[:300]))]
+    assert spans_of(spark, rows) == brute_spans(list(dict.fromkeys(rows)), 50)
+    odd = spark.createDataFrame([(str(i) if i != 2 else "b-2", t) for i, t in rows], "doc_id string, text string")
+    assert {x.doc_id for x in spans(odd).collect()} == {None, 1, 3, 4}  # an id that is no integer counts as null
+
+
 def test_batches_carry_the_open_digit(spark):
     rows = corpus(40, 3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
