@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -11,8 +11,8 @@ from ..session import cut
 def components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` of longs -> ``(node, root)`` for every node with an edge; root is the component's least node.
 
-    Each round is two shuffles and is written to the shared folder; the rounds grow with the logarithm of the largest
-    component.
+    A round is written to the shared folder; the rounds grow with the logarithm of the largest component. A node's least
+    neighbour is found by partial aggregates and joined back, so that a hub's edges needn't be in one task.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        at = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(at), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(at))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
