@@ -49,6 +49,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(long_id(), F.lit(NO_ID)).alias(ID), F.xxhash64(text).alias(KEY), "*")
 
 
+def passing(f):
+    """For a function that returns rows of its first argument: columns whose names it might use itself have others meanwhile."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names = docs.columns
+        if not any(c.lower().startswith("__llm_") for c in names):
+            return f(docs, *args, **options)
+        inner = docs.toDF(*(f"__own_{k}" if c.lower().startswith("__llm_") else c for k, c in enumerate(names)))
+        return f(inner, *args, **options).toDF(*names)
+
+    return run
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """Only the row key and the text, never null."""
     return keyed(docs.select("doc_id", "text")).select(ID, KEY, F.coalesce("text", F.lit("")).alias("text"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, SOLID, cut, flat, keyed, mix, parts, ranges_hash, real_id, texts_of, tidy, words
+from .common import ID, KEY, SOLID, cut, flat, keyed, mix, parts, passing, ranges_hash, real_id, texts_of, tidy, words
 
 #: A passage is repeated if this many words in a row are.
 THRESHOLD = 50
@@ -189,17 +189,18 @@ def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``(__llm_id, __llm_key, pos, n, first_id, first_key, first_pos)``: ``n`` repeated windows in a row from word ``pos`` on, and where they first occur."""
     if threshold < DIGIT:
         raise ValueError(f"threshold must be at least {DIGIT}")
-    anchors = _pass_one(docs, threshold).groupBy("digit", ID, KEY).agg(F.max("n").alias("n"))  # repeated rows once
+    anchors = _pass_one(docs, threshold)
     often = anchors.groupBy("digit").agg(F.sum("n").alias("of")).where("of > 1")
     hot = F.col("of") > HOT
-    lists = anchors.join(often, "digit").groupBy(ID, KEY).agg(F.collect_list(F.when(~hot, F.col("digit"))).alias("cold"), F.collect_list(F.when(hot, F.col("digit"))).alias("hot"))
+    lists = anchors.drop("n").join(often, "digit").groupBy(ID, KEY).agg(F.collect_set(F.when(~hot, F.col("digit"))).alias("cold"), F.collect_set(F.when(hot, F.col("digit"))).alias("hot"))
     lists = cut(lists, "digits")
-    texts = texts_of(docs).groupBy(ID, KEY).agg(F.first("text").alias("text")).join(lists, [ID, KEY])
-    found = _windows(texts, threshold, "cold", False).repartition("digit").sortWithinPartitions("digit", ID, KEY, "pos").mapInArrow(tidy(_runs), RUNS)
+    once = texts_of(docs).groupBy(ID, KEY).agg(F.first("text").alias("text"))  # of repeated rows, one
+    texts = lambda which: once.join(lists.where(F.size(which) > 0).select(ID, KEY, which), [ID, KEY])
+    found = _windows(texts("cold"), threshold, "cold", False).repartition("digit").sortWithinPartitions("digit", ID, KEY, "pos").mapInArrow(tidy(_runs), RUNS)
     if not lists.where(F.size("hot") > 0).limit(1).count():
         return found
-    digits = ["digit", "second", "third"]
-    every = cut(_windows(texts, threshold, "hot", True), "hot")
+    # one plan with the others, which shuffles the texts once
+    digits, every = ["digit", "second", "third"], _windows(texts("hot"), threshold, "hot", True)
     first = every.groupBy(*digits).agg(F.min(F.struct(ID, KEY, "pos")).alias("f"), F.count("*").alias("of")).where("of > 1")
     many = every.join(first, digits).select(ID, KEY, "pos", F.lit(1).cast("long").alias("n"), F.col(f"f.{ID}").alias("first_id"), F.col(f"f.{KEY}").alias("first_key"), F.col("f.pos").alias("first_pos"))
     return found.unionByName(many)
@@ -219,6 +220,7 @@ def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return r.select(real_id().alias("doc_id"), "start_word", (F.col("end") - F.col("start_word") + threshold - 1).alias("n_words"), real_id("first_id").alias("first_doc_id"), (F.col("start_word") + F.col("shift")).alias("first_start_word"))
 
 
+@passing
 def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without the passages that occurred before: each repeated window's words stay only at its first occurrence.
 
