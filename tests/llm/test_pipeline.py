@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from mosaica.llm.vocab import encoding
-from tests.llm.test_fertility import K
+from mosaica.llm.fertility import PRIOR, K
 from tests.llm.test_fertility import brute as brute_bands
 from tests.llm.test_mixing import plain as plain_mixture
 from tests.llm.test_simhash import brute as brute_groups
@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
     start, good, apart, cut, mixed, tokens = ([r.asDict() for r in f.collect()] for f in frames)
 
     ids = lambda rows: {r["doc_id"] for r in rows}
-    assert ids(good) == brute_bands([(r["doc_id"], r["text"], r["lang"]) for r in start], K, 30) and 100 < len(good) < len(start)
+    assert ids(good) == brute_bands([(r["doc_id"], r["text"], r["lang"]) for r in start], K, PRIOR) and 100 < len(good) < len(start)
     pairs = brute_groups([(r["doc_id"], r["text"]) for r in good])
     assert ids(apart) == ids(good) - {a for a, b in pairs if a != b} and len(apart) == len(ids(apart))
 
