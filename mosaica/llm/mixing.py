@@ -7,7 +7,7 @@ name. The seats of a shard are a run of that order, so that after every shard ea
 apportionment to so many seats. A source's seats are taken by its blocks in the seeded order of ``md5(seed:source:block)``.
 
 Defined cases: a null source is a source of its own, named ``''`` (as an empty one is); a null or empty text has no
-tokens and goes with the block it falls in; a null ``doc_id`` counts as the least; rows that repeat ``doc_id`` and text
+tokens and goes with the block it falls in; a ``doc_id`` that is null or no integer counts as the least; rows that repeat ``doc_id`` and text
 are one document; sources without a weight, or with none above 0, get no seats; an empty table gives an empty result;
 other columns pass through, whatever their names.
 """
@@ -17,10 +17,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, cut, keyed
+from .common import ID, KEY, cut, keyed, passing, real_id
 
 BLOCK_TOKENS = 20_000
 #: Of all blocks, the share that gets seats, when their number isn't given.
@@ -29,7 +30,7 @@ SHARDS = 16
 SEED = 17
 #: Less counts as no weight: its quotients would no longer be told apart.
 LEAST_WEIGHT = 1e-200
-#: Hexadecimal digits of the order key by which a source's documents are summed in parallel.
+#: Hexadecimal digits of the order key by which a source's documents are summed, and its blocks numbered, in parallel.
 SLICE = 3
 
 
@@ -101,21 +102,30 @@ def assigned(docs: DataFrame, weights: Mapping[str, float] | None = None, block_
     total = min(int(have.sum()), int(np.floor(SHARE * sum(r.blocks for r in per))) if seats is None else seats)
     bounds = [total * i // shards for i in range(shards + 1)]
     upto = seats_before(w, have, bounds)
-    quotas = [(i, r.source, int(upto[i + 1][s] - upto[i][s])) for i in range(shards) for s, r in enumerate(per)]
-    quotas = spark.createDataFrame(quotas, "shard int, source string, quota long")
-    ends = spark.createDataFrame([(r.source, [int(x) for x in upto[1:, s]]) for s, r in enumerate(per)], "source string, ends array<long>")
-    seat = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "source", F.lit(":"), F.col("block").cast("string"))), "block")) - 1
-    chosen = blocks.withColumn("seat", seat.cast("long")).join(ends, "source").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("seat")))).where(F.col("shard") < shards).drop("ends")
+    ends = pa.ListArray.from_arrays(pa.array(np.arange(len(per) + 1, dtype=np.int32) * shards), pa.array(np.ascontiguousarray(upto[1:].T).ravel()))
+    ends = spark.createDataFrame(pa.table({"source": pa.array([r.source for r in per], pa.string()), "ends": ends}))
+    quota = F.transform("ends", lambda e, i: e - F.when(i > 0, F.get("ends", i - 1)).otherwise(0))
+    quotas = ends.select("source", F.posexplode(quota).alias("shard", "quota")).select("shard", "source", "quota")
+    chosen = _numbered(blocks, seed).join(ends, "source").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("seat")))).where(F.col("shard") < shards).select("source", "block", "seat", "shard")
     return rows.join(chosen, ["source", "block"]), quotas
 
 
+def _numbered(blocks: DataFrame, seed: int) -> DataFrame:
+    """``blocks`` with ``seat``: their numbers within the source in the seeded order. A source's blocks are numbered in slices of that order."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), "source", F.lit(":"), F.col("block").cast("string")))
+    blocks = blocks.withColumn("order", key).withColumn("slice", F.substring("order", 1, SLICE))
+    n = blocks.groupBy("source", "slice").agg(F.count("*").alias("n"))
+    before = n.select("source", "slice", (F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("source", "slice").orderBy("order", "block")) - 1
+    return blocks.withColumn("inside", inside).join(before, ["source", "slice"]).withColumn("seat", (F.col("before") + F.col("inside")).cast("long"))
+
+
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, source, n_tokens, block, shard, seat)`` for every chosen document."""
-    from .common import real_id
-
     return assigned(docs, **options)[0].select(real_id().alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), "block", "shard", "seat")
 
 
+@passing
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The chosen rows of ``docs``; of rows that repeat ``doc_id`` and text, all."""
     return keyed(docs).join(assigned(docs, **options)[0].select(ID, KEY), [ID, KEY], "left_semi").drop(ID, KEY)
