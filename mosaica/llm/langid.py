@@ -7,10 +7,12 @@ frequencies; an unseen word scores the mean of those of its known n-grams, of th
 of its n-grams are known. A text's score is the sum over all its words, and the language with the best one is its
 language; ties go to the alphabetically first.
 
-Words are split at white space, in lower case, without what isn't a letter at their ends.
+Words are split at ASCII white space, in lower case, without what isn't a letter at their ends. Words are looked up by hash, all
+of a batch at once: what a worker hasn't met before is scored once for each distinct word.
 
-Defined cases: a null or empty text, or one without letters, has language ``und`` and margin 0; repeated rows score
-alike; a null or empty label is no label; without labels every language is ``und``; an empty table gives an empty result.
+Defined cases: a null or empty text, or one without letters or known n-grams, has language ``und`` and margin 0; repeated
+rows score alike; a null or empty label is no label; without labels every language is ``und``; a ``doc_id`` that is null or no
+integer is null; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, tidy
+from .common import SOLID, flat, long_id, parts, ranges_hash, tidy, words
 from .vocab import CACHE_WORDS
 
 #: Labelled documents of each language to fit to.
@@ -32,6 +34,7 @@ PER_LANGUAGE = 400
 MIN_COUNT = 2
 LONGEST = 5
 _ENDS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
 def word_of(raw: str) -> str:
@@ -73,7 +76,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, min_count: int = MIN_
         seen: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                seen.setdefault(lang, Counter()).update(w for w in map(word_of, text.split()) if w)
+                seen.setdefault(lang, Counter()).update(w for w in map(word_of, _SPACE.split(text)) if w)
         for lang, c in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -97,36 +100,53 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, min_count: int = MIN_
     return Model(languages, tables)
 
 
-class Scorer(dict):
-    """White-space word -> row of ``rows``, the scores of words met so far."""
+class Scorer:
+    """Scores of the white-space words met so far, by their hash."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.rows, self.n = model, np.zeros((1024, len(model.languages))), 0
-
-    def __missing__(self, raw: str) -> int:
-        w = word_of(raw)
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n] = self.model.score(w) if w else 0
-        self[raw] = self.n
-        self.n += 1
-        return self.n - 1
-
-    def text(self, text: str) -> tuple[str, float]:
-        ws = text.split()
-        if len(self) > CACHE_WORDS:
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rows = np.zeros((0, len(self.model.languages)))
+
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the words' scores and number of words, of each text."""
+        raw, off = flat(column)
+        starts, ends, at = words(raw, off, SOLID)
+        total, n = np.zeros((len(off) - 1, len(self.model.languages))), np.diff(at)
+        if not len(starts) or not self.model.languages:
+            return total, n
+        h = ranges_hash(raw, starts, ends)
+        distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > CACHE_WORDS:
             self.clear()
-            self.rows, self.n = np.zeros((1024, len(self.model.languages))), 0
-        if not ws or not self.model.languages:
-            return "und", 0.0
-        at = np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
-        s = self.rows[at].sum(0)
-        if not s.any():
-            return "und", 0.0
-        k = int(s.argmax())
-        second = np.delete(s, k).max() if len(s) > 1 else s[k]
-        return self.model.languages[k], float(s[k] - second) / len(ws)
+        spot = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero((spot == len(self.known)) | (self.known[np.minimum(spot, len(self.known) - 1)] != distinct)) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            texts = [raw[starts[k] : ends[k]].tobytes().decode() for k in first[new].tolist()]
+            rows = np.array([self.model.score(w) if (w := word_of(t)) else np.zeros(total.shape[1]) for t in texts]).reshape(len(new), -1)
+            known, row = np.concatenate([self.known, distinct[new]]), np.concatenate([self.row, len(self.rows) + np.arange(len(new))])
+            order = np.argsort(known)
+            self.known, self.row, self.rows = known[order], row[order], np.concatenate([self.rows, rows])
+        score = self.rows[self.row[np.searchsorted(self.known, distinct)]][of]
+        has = n > 0
+        total[has] = np.add.reduceat(score, at[:-1][has], axis=0)
+        return total, n
+
+
+def best(model: Model, total: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and margin from sums of scores and numbers of words."""
+    some = total.any(1) if model.languages else np.zeros(len(n), bool)
+    if not some.any():
+        return ["und"] * len(n), np.zeros(len(n))
+    k = total.argmax(1)
+    lead = total[np.arange(len(n)), k]
+    rest = total.copy()
+    rest[np.arange(len(n)), k] = -np.inf
+    second = rest.max(1) if total.shape[1] > 1 else lead
+    return [model.languages[x] if ok else "und" for x, ok in zip(k, some)], np.where(some, (lead - second) / np.maximum(n, 1), 0.0)
 
 
 def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
@@ -137,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in parts(batches):
-            got = [scorer.text(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "language", "margin"])
+            language, margin = best(sent.value, *scorer.scores(b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(language, pa.string()), pa.array(margin, pa.float64())], names=["doc_id", "language", "margin"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id long, language string, margin double")
+    return docs.select(long_id().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id long, language string, margin double")
