@@ -4,10 +4,13 @@ Every text gets a 256-bit SimHash over its set of lower-case words. Equal finger
 ones are sorted by population count into tiles, and every pair of tiles is compared exactly with numpy exclusive-or
 and bit counts. A pair of tiles is skipped when its population counts differ by more than the radius, for then no two
 of its fingerprints can be within it. Fingerprints within the radius are joined, and a group is a connected component.
+Copies of a text meet in one fingerprint and are counted, not paired: a document's links are the other documents within the
+radius, its copies among them.
 
-Defined cases: a null or wordless text has no fingerprint and is in no group; rows that repeat ``doc_id`` and text are
-one document; a null ``doc_id`` is kept last in its group; an empty table gives an empty result; other columns pass
-through, whatever their names.
+Defined cases: a null or empty text has no fingerprint and is in no group; a text without words has a hash of its bytes
+instead, so that only its exact copies (but for case) are near it; rows that repeat ``doc_id`` and text are one document; a ``doc_id``
+that is null or no integer is kept last in its group; an empty table gives an empty result; other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ID, KEY, cut, flat, keyed, mix, parts, ranges_hash, real_id, texts_of, tidy, words
-from .components import components
+from ..operators.components import components
+from .common import ALNUM, ID, KEY, NO_ID, cut, flat, keyed, mix, parts, passing, ranges_hash, real_id, texts_of, tidy, words
 
 #: Bits of 256 in which near copies may differ: about one word in ten changed.
 RADIUS = 48
@@ -37,7 +40,12 @@ def fingerprints_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, off = flat(pc.utf8_lower(column))
     starts, ends, at = words(raw, off, ALNUM)
     out, has = np.zeros((n, LANES), np.uint64), at[1:] > at[:-1]
+    bare = np.flatnonzero(~has & (off[1:] > off[:-1]))
+    if len(bare):
+        h = ranges_hash(raw, off[:-1][bare], off[1:][bare])
+        out[bare] = np.stack([mix(h + np.uint64(lane)) for lane in range(LANES)], axis=1)
     if not len(starts):
+        has[bare] = True
         return out, has
     doc = np.repeat(np.arange(n), np.diff(at))
     h = ranges_hash(raw, starts, ends)
@@ -57,11 +65,12 @@ def fingerprints_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             sums = np.add.reduceat(_SPREAD[b[:, k]], runs).view(np.uint8).reshape(-1, 8).astype(np.int32)
             got[:, k] = np.packbits(np.add.reduceat(sums, of_run, axis=0) * 2 > total[:, None], axis=1, bitorder="little")[:, 0]
         out[doc[first], lane] = got.view(np.uint64)[:, 0]
+    has[bare] = True
     return out, has
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(__llm_id, __llm_key, f0..f3)`` for each row whose text has a word."""
+    """``(__llm_id, __llm_key, f0..f3)`` for each row that has a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -81,14 +90,14 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         node = base + row + np.arange(b.num_rows, dtype=np.int64)
         row += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(node // TILE), pa.array(node), *(b.column(c) for c in FP)], names=["tile", "node", *FP])
+        yield pa.RecordBatch.from_arrays([pa.array(node // TILE), pa.array(node), *b.columns], names=["tile", "node", *b.schema.names])
 
 
 def _pack(t: pa.Table) -> pa.Table:
     f = np.stack([t.column(c).to_numpy().view(np.uint64) for c in FP])
     pops = np.bitwise_count(f).sum(0, dtype=np.int64)
     order = np.argsort(pops, kind="stable")
-    return pa.table({"tile": t.column("tile").slice(0, 1), "lo": [int(pops.min())], "hi": [int(pops.max())], "nodes": [t.column("node").to_numpy()[order].tobytes()], "fps": [np.ascontiguousarray(f[:, order]).tobytes()]})
+    return pa.table({"tile": t.column("tile").slice(0, 1), "lo": [int(pops.min())], "hi": [int(pops.max())], "nodes": [t.column("node").to_numpy()[order].tobytes()], "copies": [t.column("copies").to_numpy()[order].tobytes()], "fps": [np.ascontiguousarray(f[:, order]).tobytes()]})
 
 
 def within(a: np.ndarray, b: np.ndarray, radius: int, same: bool, rows: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +144,8 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def near_edges(distinct: DataFrame, radius: int) -> DataFrame:
-    """``(u, v)``: for each pair of tiles a spanning forest of the pairs within the radius."""
-    tiles = cut(distinct.groupBy("tile").applyInArrow(_pack, "tile long, lo long, hi long, nodes binary, fps binary"), "tiles")
+    """``(u, v, n)``: for each pair of tiles a spanning forest of the pairs within the radius, and ``(u, u, n)`` for the documents within it of a node."""
+    tiles = cut(distinct.select("tile", "node", *FP, "copies").groupBy("tile").applyInArrow(_pack, "tile long, lo long, hi long, nodes binary, copies binary, fps binary"), "tiles")
     other = tiles.select(*(F.col(c).alias(f"{c}2") for c in tiles.columns))
     # each pair once; by parity, so that neither half of the tiles has all the work
     once = "tile = tile2 or ((tile < tile2) = (abs(tile - tile2) % 2 = 1))"
@@ -145,42 +154,54 @@ def near_edges(distinct: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for r in range(t.num_rows):
-                na, nb = (np.frombuffer(t.column(c)[r].as_buffer(), np.int64) for c in ("nodes", "nodes2"))
+                na, nb, ca, cb = (np.frombuffer(t.column(c)[r].as_buffer(), np.int64) for c in ("nodes", "nodes2", "copies", "copies2"))
                 a, b = (np.frombuffer(t.column(c)[r].as_buffer(), np.uint64).reshape(LANES, -1) for c in ("fps", "fps2"))
                 same = t.column("tile")[r].as_py() == t.column("tile2")[r].as_py()
                 i, j = within(a, b, radius, same)
                 if not len(i):
                     continue
                 every = na if same else np.concatenate([na, nb])
-                root = forest(i, j if same else j + len(na), len(every))
-                moved = np.flatnonzero(root != np.arange(len(every)))
-                yield pa.RecordBatch.from_arrays([pa.array(every[moved]), pa.array(every[root[moved]])], names=["u", "v"])
+                near = np.zeros(len(every), np.int64)
+                at = j if same else j + len(na)
+                np.add.at(near, i, cb[j])
+                np.add.at(near, at, ca[i])
+                root = forest(i, at, len(every))
+                moved, linked = np.flatnonzero(root != np.arange(len(every))), np.flatnonzero(near)
+                u, v = np.concatenate([every[moved], every[linked]]), np.concatenate([every[root[moved]], every[linked]])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate([np.zeros(len(moved), np.int64), near[linked]]))], names=["u", "v", "n"])
 
-    return pairs.mapInArrow(tidy(run), "u long, v long")
+    return cut(pairs.mapInArrow(tidy(run), "u long, v long, n long"), "near")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(__llm_id, __llm_key, kept_id, kept_key, size)`` for every document that has a near copy, the kept one too.
+    """``(__llm_id, __llm_key, kept_id, kept_key, size, links)`` for every document that has a near copy, the kept one too.
 
-    The kept one of a group is that with the least ``doc_id`` (a null one last), then text hash.
+    The kept one of a group is that with the least ``doc_id`` (a null one last), then text hash. Documents are counted by
+    fingerprint and fingerprints by group before anything is joined, so that no task holds a group.
     """
     fps = cut(fingerprints(docs).dropDuplicates([ID, KEY]), "fingerprints")
+    order = F.struct((F.col(ID) == NO_ID).alias("none"), F.col(ID).alias("id"), F.col(KEY).alias("key"))
+    one = fps.groupBy(*FP).agg(F.count("*").alias("copies"), F.min(order).alias("k")).select(*FP, "copies", "k.id", "k.key")
     pop = sum(F.bit_count(c) for c in FP)
-    distinct = cut(fps.select(*FP).distinct().withColumn("pop", pop).repartitionByRange("pop", "f0").sortWithinPartitions("pop").select(*FP).mapInArrow(_number, "tile long, node long, " + ", ".join(f"{c} long" for c in FP)), "distinct")
-    comp = components(near_edges(distinct, radius))
-    nodes = distinct.join(comp, "node", "left").select(*FP, F.coalesce("root", "node").alias("root"))
-    at = Window.partitionBy("root")
-    order = F.struct((F.col(ID) == F.lit(-(2**63))).alias("none"), F.col(ID).alias("id"), F.col(KEY).alias("key"))
-    out = fps.join(nodes, FP).select(ID, KEY, F.min(order).over(at).alias("kept"), F.count("*").over(at).alias("size"))
-    return out.where("size > 1").select(ID, KEY, F.col("kept.id").alias("kept_id"), F.col("kept.key").alias("kept_key"), "size")
+    schema = "tile long, node long, " + ", ".join(f"{c} long" for c in [*FP, "copies", "id", "key"])
+    distinct = cut(one.withColumn("pop", pop).repartitionByRange("pop", "f0").sortWithinPartitions("pop").drop("pop").mapInArrow(_number, schema), "distinct")
+    near = near_edges(distinct, radius)
+    comp = components(near.where("u <> v").select("u", "v"))
+    links = near.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    nodes = distinct.join(comp, "node", "left").join(links, "node", "left")
+    nodes = cut(nodes.select(*FP, F.coalesce("root", "node").alias("root"), "copies", "id", "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links")), "nodes")
+    least = F.struct((F.col("id") == NO_ID).alias("none"), "id", "key")
+    roots = nodes.groupBy("root").agg(F.min(least).alias("k"), F.sum("copies").alias("size")).where("size > 1").select("root", F.col("k.id").alias("kept_id"), F.col("k.key").alias("kept_key"), "size")
+    return fps.join(nodes.select(*FP, "root", "links").join(roots, "root"), FP).select(ID, KEY, "kept_id", "kept_key", "size", "links")
 
 
 def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, kept_id)`` for every document of a group of near copies; the kept one stands beside itself."""
-    return groups(docs, radius).select(real_id().alias("doc_id"), real_id("kept_id").alias("kept_id"))
+    """``(doc_id, kept_id, links)`` for every document of a group of near copies; the kept one, the group's class, stands beside itself."""
+    return groups(docs, radius).select(real_id().alias("doc_id"), real_id("kept_id").alias("kept_id"), "links")
 
 
+@passing
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group; of rows that repeat ``doc_id`` and text, one stays."""
     gone = groups(docs, radius).where(f"{ID} <> kept_id or {KEY} <> kept_key").select(ID, KEY)
-    return keyed(docs).join(gone, [ID, KEY], "left_anti").dropDuplicates([ID, KEY]).drop(ID, KEY)
+    return keyed(docs).dropDuplicates([ID, KEY]).join(gone, [ID, KEY], "left_anti").drop(ID, KEY)

@@ -1,6 +1,7 @@
 """Groups of near copies against comparing all fingerprints."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,8 +9,34 @@ import pyarrow as pa
 from mosaica.llm.simhash import RADIUS, drop_near_copies, duplicates, fingerprints_of, forest, within
 
 
-def brute(rows, radius=RADIUS):
-    f, has = fingerprints_of(pa.array([t or "" for _, t in rows]))
+M = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x + 0x9E3779B97F4A7C15) & M
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M
+    return x ^ (x >> 31)
+
+
+def plain_fingerprint(text):
+    """256 bits from the definition, word by word and bit by bit; None for an empty text."""
+    poly = lambda b: plain_mix(sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(b)) & M)
+    low = (text or "").lower().encode()
+    ws = set(re.findall(rb"[0-9a-z\x80-\xff]+", low))
+    if not ws:
+        return sum(plain_mix((poly(low) + lane) & M) << (64 * lane) for lane in range(4)) if low else None
+    out = 0
+    for lane in range(4):
+        hs = [plain_mix(poly(w) ^ (0xA5A5A5A5 * (lane + 1))) for w in ws]
+        out |= sum((2 * sum((h >> k) & 1 for h in hs) > len(hs)) << k for k in range(64)) << (64 * lane)
+    return out
+
+
+def brute(rows, radius=RADIUS, links=False):
+    rows = list(dict.fromkeys(rows))
+    f = [plain_fingerprint(t) for _, t in rows]
+    has = [x is not None for x in f]
     group = list(range(len(rows)))
 
     def find(i):
@@ -19,11 +46,14 @@ def brute(rows, radius=RADIUS):
 
     for i in range(len(rows)):
         for j in range(i):
-            if has[i] and has[j] and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= radius:
+            if has[i] and has[j] and (f[i] ^ f[j]).bit_count() <= radius:
                 group[find(i)] = find(j)
     members = {}
     for i in range(len(rows)):
         members.setdefault(find(i), []).append(i)
+    if links:
+        near = [sum(has[i] and has[j] and i != j and (f[i] ^ f[j]).bit_count() <= radius for j in range(len(rows))) for i in range(len(rows))]
+        return {(rows[i][0], min(rows[m][0] for m in g), near[i]) for g in members.values() if len(g) > 1 for i in g}
     return {(rows[i][0], min(rows[m][0] for m in g)) for g in members.values() if len(g) > 1 for i in g}
 
 
@@ -50,6 +80,21 @@ def test_groups_match_brute_force(spark):
     assert kept == {i for i, _ in rows} - {a for a, b in got if a != b}
 
 
+def test_fingerprints_are_as_defined():
+    texts = [t for _, t in corpus(40, 3)] + ["", "...", "?!", "Ünï cödé ÜNÏ", "a"]
+    f, has = fingerprints_of(pa.array(texts))
+    for t, x, ok in zip(texts, f, has):
+        want = plain_fingerprint(t)
+        assert (want is not None) == ok and (want is None or [int(w) for w in x] == [(want >> (64 * k)) & M for k in range(4)])
+
+
+def test_links_with_a_third_copies_of_one_text(spark):
+    rows = corpus(80, 7)
+    rows += [(1000 + k, rows[5][1]) for k in range(60)] + [(2000 + k, "*" * (3 + k % 2)) for k in range(6)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string")
+    assert {(r.doc_id, r.kept_id, r.links) for r in duplicates(docs).collect()} == brute(rows, links=True)
+
+
 def test_small_tiles(spark, monkeypatch):
     from mosaica.llm import simhash
 
@@ -100,7 +145,7 @@ def test_within_and_forest():
 def test_cases(spark):
     t = "alpha beta gamma delta"
     rows = [(5, t, 1), (5, t, 1), (7, t.upper(), 2), (None, t, 3), (8, None, 4), (9, "", 5), (10, "...", 6), (11, "other " + "words here " * 50_000, 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, node long")
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, node long, __llm_key string")
     assert {(r.doc_id, r.kept_id) for r in duplicates(docs).collect()} == {(5, 5), (7, 5), (None, 5)}
     left = drop_near_copies(docs)
     assert left.columns == docs.columns
