@@ -4,9 +4,9 @@ A text is halved down to leaves. An element is an open string, in which no cut i
 open strings at both ends and the ids between. A cut is certain before white space that follows something else: no
 pre-token spans it, none before it looks beyond it, and matching starts afresh there. Joining neighbours re-encodes the
 window of the left tail and the right head, which grows over open elements until it ends at certain cuts; the ids
-outside it can't change. Inside a long run of ASCII letters, which is one pre-token, byte strings are halved likewise
-and joined by re-encoding a growing window of ids, until each id at its edges makes a pair with its neighbour that BPE
-leaves as it is: a sequence of ids is its text's encoding exactly if all neighbours are such pairs.
+outside it can't change. A text between certain cuts is split into pre-tokens; a long one, of letters of any script, digits,
+signs or blanks, is halved likewise as bytes and joined by re-encoding a growing window of ids, until each id at its edges makes a
+pair with its neighbour that BPE leaves as it is: a sequence of ids is its text's encoding exactly if all neighbours are such pairs.
 
 Decoding halves the ids and concatenates the bytes up the tree.
 
@@ -22,19 +22,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, parts, tidy
-from .vocab import SPACES, WordEncoder, chunks
+from .common import TOKENIZERS, long_id, parts, tidy
+from .vocab import PATTERN, SPACES, WordEncoder, chunks
 
 VOCABULARY = "byte_bpe_50k"
-#: Characters of a leaf, and of a run of letters from which it is halved too.
-LEAF = 16_384
-LONG = 4_096
+#: Characters of a leaf, and bytes of a pre-token from which it is halved too.
+LEAF = 1_024
+LONG = 1_024
 _CUT = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])")
 _BLANK = frozenset(" \t\n\r\x0b\x0c\x85\xa0     　") | frozenset(map(chr, range(0x2000, 0x200B)))
-_LETTERS = re.compile(" ?[A-Za-z]+")
+_PRE_TOKEN = regex.compile(PATTERN)
 
 
 class Tree:
@@ -43,7 +44,7 @@ class Tree:
     def __init__(self, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS, leaf: int = LEAF, long: int = LONG):
         self.words = WordEncoder(vocabulary, folder)
         self.leaf, self.long, self.dtype = leaf, long, self.words.dtype
-        self.run = re.compile(f"[^{SPACES}]{{{long},}}")
+        self.run = re.compile(f"[^{SPACES}]{{{long},}}|[{SPACES}]{{{long},}}")
         e = self.words.encoding
         self.bytes_of = [b""] * (e.max_token_value + 1)
         for b in e.token_byte_values():
@@ -76,9 +77,15 @@ class Tree:
 
     def window(self, text: str) -> bytes:
         """Ids of a string between certain cuts."""
-        if len(text) > self.long and self.run.search(text):
-            return b"".join([np.array(self.one_piece(c.encode()), self.dtype).tobytes() if len(c) > self.long and _LETTERS.fullmatch(c) else self.words.text(c) for c in chunks(text)])
-        return self.words.text(text)
+        if len(text) <= self.long or not self.run.search(text):
+            return self.words.text(text)
+        ids = []
+        for c in chunks(text):
+            if len(c) <= self.long:
+                ids.append(self.words.text(c))
+            else:
+                ids += [np.array(self.one_piece(p.encode()), self.dtype).tobytes() for p in _PRE_TOKEN.findall(c)]
+        return b"".join(ids)
 
     def element(self, text: str):
         if len(text) > self.leaf:
@@ -138,4 +145,4 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZE
             offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(offsets, values), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, tokens array<int>, round_trip boolean")
+    return docs.select(long_id().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, tokens array<int>, round_trip boolean")

@@ -23,7 +23,7 @@ def test_tree_is_direct_encoding(key, text):
 
 def test_long_run_of_letters():
     tree = Tree()
-    for text in ("a" * 50_000, "theontion" * 4000, "x " + "Wq" * 9000 + "\n\ny"):
+    for text in ("漢字" * 9000, "é" * 9000 + "ab1" * 5000, "12345" * 4000, "!?" * 8000, " " * 20_000 + "x" + "\n" * 9000, "ab" * 9000 + "'s" * 900, "\u3000" * 5000 + "語" * 5000, "a" * 50_000, "theontion" * 4000, "x " + "Wq" * 9000 + "\n\ny"):
         assert np.frombuffer(tree.encode(text), tree.dtype).tolist() == tree.words.encoding.encode_ordinary(text)
 
 
@@ -33,4 +33,6 @@ def test_cases(spark):
     assert sum(1 for _ in encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 6
     assert all(r.round_trip and len(r.tokens) == r.n_tokens for r in got.values())
     assert (3, 0) in got and (4, 0) in got
+    odd = spark.createDataFrame([("a-1", "x y", 1, True), ("7", None, 2, False)], "doc_id string, text string, n_tokens int, round_trip boolean")
+    assert sorted((str(r.doc_id), r.n_tokens, r.round_trip) for r in encode(odd).collect()) == [("7", 0, True), ("None", 2, True)]
     assert encode(spark.createDataFrame([], "doc_id long, text string, tokens int")).collect() == []
