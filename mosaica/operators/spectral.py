@@ -1,12 +1,14 @@
-"""Spectral clustering: a graph of the rows for each modality, its top eigenvectors as new modalities, k-means of those.
+"""Spectral clustering: every modality's graph gives eigenvectors, whose rows are clustered by k-means.
 
-The rows are numbered by ``_id``. Up to :data:`DENSE` rows the graph is solved as a dense matrix on the driver; beyond,
-Lanczos rounds multiply the distributed rows of the graph with one vector each.
+One solver serves all sizes: block Krylov steps, thickly restarted, with a Rayleigh-Ritz projection of all that is kept. A step is one
+product of the graph with a block of vectors, made on the executors: the nearest neighbours' graph lies there as blocks of sparse
+rows; similarities are worked out from pairs of tiles in each product and never stored. The driver holds the identifiers and, for
+``eigen`` = 8, up to 300 numbers for each row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -17,11 +19,16 @@ from pyspark.sql import functions as F
 from ..functions.distances import nearest, pairwise
 from ..functions.tiles import over_pairs, tiles
 from ..modality import ID, LABEL, MultiFrame
-from ..session import cut, numbered
+from ..session import cut
 from .base import Algorithm, LabelledModel, check
 from .kmeans import local_kmeans
 
-DENSE = 4096
+#: A pair is found when its residual is below this share of the greatest eigenvalue.
+TOLERANCE = 3e-10
+MOST_STEPS = 300
+#: Blocks of vectors that are kept before a restart, and rows of the graph to a block.
+KEPT_BLOCKS, GRAPH_ROWS = 8, 1024
+Times = Callable[[np.ndarray], np.ndarray]
 
 
 def nearest_neighbours(df: DataFrame, modalities, k: int) -> DataFrame:
@@ -53,53 +60,118 @@ def affinity(df: DataFrame, modalities, gamma: float) -> DataFrame:
     return over_pairs(tiles(df, modalities), modalities, run, f"{ID} long, neighbour long, w double")
 
 
-def largest(entries: DataFrame, n: int, k: int, rounds: int = 300, seed: int = 0) -> np.ndarray:
-    """``(n, k)``: eigenvectors of the symmetric matrix ``entries(i, j, v)`` with the largest absolute eigenvalues."""
+def _fresh(x: np.ndarray, q: np.ndarray, r: np.random.Generator, width: int) -> np.ndarray:
+    """Up to ``width`` orthonormal columns orthogonal to ``q`` that span ``x``, made up with random ones."""
+    n, out = len(x), np.zeros((len(x), 0))
+    for source in (x, r.standard_normal((n, width))):
+        more = min(width, n - q.shape[1]) - out.shape[1]
+        if more <= 0:
+            break
+        size = np.linalg.norm(source, axis=0)
+        y = source[:, size > 0] / size[size > 0]
+        for _ in range(3):
+            y -= q @ (q.T @ y)
+            y -= out @ (out.T @ y)
+        u, w, _ = np.linalg.svd(y, full_matrices=False)
+        y = u[:, w > 1e-7][:, :more]
+        for _ in range(2):
+            y -= q @ (q.T @ y)
+            y -= out @ (out.T @ y)
+            y /= np.linalg.norm(y, axis=0)
+        out = np.concatenate([out, y], axis=1)
+    return out
+
+
+def eigenvectors(times: Times, n: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` eigenvalues of largest absolute value of a symmetric operator, and their vectors ``(n, k)``.
+
+    Blocks are wider than ``k``, so an eigenvalue that occurs several times is found as often, and directions that are used up
+    are replaced by random ones. Raises ``RuntimeError`` if the residuals aren't small after :data:`MOST_STEPS` products.
+    """
     k = min(k, n)
-    if n <= DENSE:
-        t = entries.toArrow()
-        a = np.zeros((n, n))
-        np.add.at(a, (t.column("i").to_numpy(), t.column("j").to_numpy()), t.column("v").to_numpy())
-        w, v = np.linalg.eigh((a + a.T) / 2)
-        out = v[:, np.argsort(-np.abs(w), kind="stable")[:k]]
-    else:
-        e = cut(entries, "matrix")
-        sc = entries.sparkSession.sparkContext
-
-        def times(x: np.ndarray) -> np.ndarray:
-            sent = sc.broadcast(x)
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    i, p = np.unique(b.column("i").to_numpy(), return_inverse=True)
-                    s = np.bincount(p, b.column("v").to_numpy() * sent.value[b.column("j").to_numpy()])
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s)], names=["i", "s"])
-
-            got = e.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
-            y = np.zeros(n)
-            y[got.column("i").to_numpy()] = got.column("s").to_numpy()
-            sent.destroy()
-            return y
-
-        m = min(n, max(4 * k + 20, 60), rounds)
-        q = np.zeros((n, m + 1))
-        q[:, 0] = np.random.default_rng(seed).standard_normal(n)
-        q[:, 0] /= np.linalg.norm(q[:, 0])
-        alpha, beta = np.zeros(m), np.zeros(m)
-        for s in range(m):
-            y = times(q[:, s])
-            alpha[s] = q[:, s] @ y
-            y -= q[:, : s + 1] @ (q[:, : s + 1].T @ y)
-            y -= q[:, : s + 1] @ (q[:, : s + 1].T @ y)
-            beta[s] = np.linalg.norm(y)
-            if beta[s] < 1e-12:
-                m = s + 1
-                break
-            q[:, s + 1] = y / beta[s]
-        w, v = np.linalg.eigh(np.diag(alpha[:m]) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1))
-        out = q[:, :m] @ v[:, np.argsort(-np.abs(w), kind="stable")[:k]]
-    sign = np.sign(out[np.abs(out).argmax(0), np.arange(out.shape[1])])
-    return out * np.where(sign == 0, 1, sign)
+    width = min(n, max(2 * k, k + 4))
+    r = np.random.default_rng(seed)
+    q, aq = np.zeros((n, 0)), np.zeros((n, 0))
+    x = _fresh(np.zeros((n, 0)), q, r, width)
+    for _ in range(MOST_STEPS):
+        q, aq = np.concatenate([q, x], axis=1), np.concatenate([aq, times(x)], axis=1)
+        h = q.T @ aq
+        w, s = np.linalg.eigh((h + h.T) / 2)
+        order = np.argsort(-np.abs(w), kind="stable")[: min(len(w), k + width)]
+        w, s = w[order], s[:, order]
+        vectors, images = q @ s, aq @ s
+        rest = images - vectors * w
+        if q.shape[1] == n or (np.linalg.norm(rest[:, :k], axis=0) <= TOLERANCE * max(np.abs(w[0]), 1e-300)).all():
+            out = vectors[:, :k] / np.linalg.norm(vectors[:, :k], axis=0)
+            sign = np.sign(out[np.abs(out).argmax(0), np.arange(k)])
+            return w[:k], out * np.where(sign == 0, 1, sign)
+        if q.shape[1] + width > KEPT_BLOCKS * width + k:
+            q, aq = vectors, images
+        x = _fresh(rest[:, :width], q, r, width)
+        if not x.shape[1]:
+            raise RuntimeError("no direction is left")
+    raise RuntimeError(f"{k} eigenvectors were not found in {MOST_STEPS} steps")
+
+
+def sparse_times(entries: DataFrame, ids: np.ndarray) -> Times:
+    """Products with the symmetric matrix of ``entries(_id, neighbour, v)``; repeated entries add up. Written once, as blocks of rows."""
+    sc = entries.sparkSession.sparkContext
+    sent = sc.broadcast(ids)
+
+    def pack(t: pa.Table) -> pa.Table:
+        i, j = (np.searchsorted(sent.value, t.column(c).to_numpy()) for c in (ID, "neighbour"))
+        order = np.lexsort((j, i))
+        return pa.table({"i": [i[order].tobytes()], "j": [j[order].tobytes()], "v": [t.column("v").to_numpy()[order].tobytes()]})
+
+    number = F.floor(F.pmod(F.xxhash64(ID), F.lit(max(1, len(ids) // GRAPH_ROWS))))
+    blocks = cut(entries.withColumn("b", number).groupBy("b").applyInArrow(pack, "i binary, j binary, v binary"), "matrix")
+
+    def times(x: np.ndarray) -> np.ndarray:
+        held = sc.broadcast(x)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    i, j, v = (np.frombuffer(row[c], d) for c, d in (("i", np.int64), ("j", np.int64), ("v", float)))
+                    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+                    y = np.add.reduceat(held.value[j] * v[:, None], first, axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([i[first].tobytes()]), pa.array([y.tobytes()])], names=["i", "y"])
+
+        out = np.zeros_like(x)
+        for row in blocks.mapInArrow(run, "i binary, y binary").collect():
+            out[np.frombuffer(row.i, np.int64)] = np.frombuffer(row.y).reshape(-1, x.shape[1])
+        held.destroy()
+        return out
+
+    return times
+
+
+def similarity_times(df: DataFrame, m, gamma: float, ids: np.ndarray) -> Times:
+    """Products with ``exp(-gamma d^2)`` of all pairs of rows, worked out tile by tile."""
+    sc = df.sparkSession.sparkContext
+    sent, t = sc.broadcast(ids), tiles(df, [m])
+
+    def times(x: np.ndarray) -> np.ndarray:
+        held = sc.broadcast(x)
+
+        def run(pairs) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for a, b in pairs:
+                y = np.exp(-gamma * pairwise([m], a.x, b.x) ** 2) @ held.value[np.searchsorted(sent.value, b.ids)]
+                if a.tile in sums:
+                    sums[a.tile][1] += y
+                else:
+                    sums[a.tile] = [a.ids, y]
+            for i, y in sums.values():
+                yield pa.RecordBatch.from_arrays([pa.array([np.searchsorted(sent.value, i).tobytes()]), pa.array([y.tobytes()])], names=["i", "y"])
+
+        out = np.zeros_like(x)
+        for row in over_pairs(t, [m], run, "i binary, y binary").collect():
+            out[np.frombuffer(row.i, np.int64)] += np.frombuffer(row.y).reshape(-1, x.shape[1])
+        held.destroy()
+        return out
+
+    return times
 
 
 def _diameter(x: np.ndarray, m) -> float:
@@ -118,29 +190,32 @@ def _diameter(x: np.ndarray, m) -> float:
 
 
 class _Spectral(Algorithm):
-    def entries(self, frame: MultiFrame, m) -> DataFrame:
+    def times(self, frame: MultiFrame, m, ids: np.ndarray) -> Times:
         raise NotImplementedError
 
+    def eigenvectors(self, frame: MultiFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The identifiers in ascending order, and each modality's eigenvalues and eigenvectors, with rows in that order."""
+        rows = frame.df.select(F.col(ID).cast("long").alias(ID)).toArrow().column(ID).to_numpy()
+        ids = np.sort(rows)
+        if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
+            raise ValueError(f"{ID} repeats")
+        return ids, [eigenvectors(self.times(frame, m, ids), len(ids), self.params["eigen"], self.params["seed"]) for m in frame.modalities]
+
     def fit(self, frame: MultiFrame) -> LabelledModel:
         p = self.params
-        n = frame.amount
-        if n < p["k"]:
+        if frame.amount < p["k"]:
             raise RuntimeError(f"not enough rows for {p['k']} clusters")
-        at = cut(numbered(frame.df.select(ID), ID, "__i"), "numbers")
-        j = at.select(F.col(ID).alias("neighbour"), F.col("__i").alias("j"))
-        xs, ms = [], []
-        for m in frame.modalities:
-            e = self.entries(frame, m).join(at.withColumnRenamed("__i", "i"), ID).join(j, "neighbour").select("i", "j", "v")
-            x = largest(e, n, p["eigen"], seed=p["seed"])
+        ids, found = self.eigenvectors(frame)
+        ms = []
+        for m, (_, x) in zip(frame.modalities, found):
             new = replace(m, dim=x.shape[1])
-            xs.append(x)
             ms.append(replace(new, norm=_diameter(x, new)))
-        x = np.concatenate(xs, axis=1)
-        centres = local_kmeans(x, np.ones(n), p["k"], p["max_iterations"], ms, p["seed"])
+        x = np.concatenate([x for _, x in found], axis=1)
+        centres = local_kmeans(x, np.ones(len(ids)), p["k"], p["max_iterations"], ms, p["seed"])
         labels = nearest(ms, x, centres)[0]
         spark = frame.df.sparkSession
-        table = spark.createDataFrame(pa.table({"__i": pa.array(np.arange(n)), LABEL: pa.array(labels.astype(np.int32))}))
-        return LabelledModel(frame.like(frame.df.join(at.join(table, "__i").select(ID, LABEL), ID)))
+        table = spark.createDataFrame(pa.table({ID: pa.array(ids), LABEL: pa.array(labels.astype(np.int32))}))
+        return LabelledModel(frame.like(frame.df.join(table, ID)))
 
 
 class SpectralAdjacency(_Spectral):
@@ -151,13 +226,17 @@ class SpectralAdjacency(_Spectral):
         super().__init__(neighbours=neighbours, eigen=eigen, k=k, max_iterations=max_iterations, seed=seed)
 
     def entries(self, frame: MultiFrame, m) -> DataFrame:
+        """``(_id, neighbour, v)``, of which those of one pair add up."""
         one = replace(m, weight=1.0)
         near = cut(nearest_neighbours(frame.df, [one], self.params["neighbours"]).select(ID, "neighbour"), "graph")
         half = near.select(ID, "neighbour", F.lit(-0.5).alias("v"))
         other = near.select(F.col("neighbour").alias(ID), F.col(ID).alias("neighbour"), F.lit(-0.5).alias("v"))
-        own = frame.df.select(ID, F.col(ID).alias("neighbour"), F.lit(float(self.params["neighbours"])).alias("v"))
+        own = frame.df.select(F.col(ID).cast("long").alias(ID), F.col(ID).cast("long").alias("neighbour"), F.lit(float(self.params["neighbours"])).alias("v"))
         return half.unionByName(other).unionByName(own)
 
+    def times(self, frame: MultiFrame, m, ids: np.ndarray) -> Times:
+        return sparse_times(self.entries(frame, m), ids)
+
 
 class SpectralSimilarity(_Spectral):
     """All pairs, ``exp(-gamma d^2)``."""
@@ -166,5 +245,5 @@ class SpectralSimilarity(_Spectral):
         check(gamma=gamma > 0, eigen=eigen >= 1, k=k >= 2, max_iterations=max_iterations >= 1)
         super().__init__(gamma=gamma, eigen=eigen, k=k, max_iterations=max_iterations, seed=seed)
 
-    def entries(self, frame: MultiFrame, m) -> DataFrame:
-        return affinity(frame.df, [replace(m, weight=1.0)], self.params["gamma"]).withColumnRenamed("w", "v")
+    def times(self, frame: MultiFrame, m, ids: np.ndarray) -> Times:
+        return similarity_times(frame.df, replace(m, weight=1.0), self.params["gamma"], ids)
