@@ -1,19 +1,54 @@
-"""BIRCH and CURE: partitions are summarised on the executors, the summaries are clustered on the driver."""
+"""BIRCH and CURE: groups of rows are summarised on the executors, and summaries merged with others until one is left.
+
+A row's group follows from a hash of its ``_id`` and the number of rows, so the clusters don't depend on partitions. A task holds one
+group, or the summaries of a few; the driver gets the last summary only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.distances import blocks, nearest, pairwise
 from ..modality import ID, MultiFrame
+from ..session import cut
 from .base import Algorithm, CentreModel, check, kept
 from .kmeans import lloyd, local_kmeans
 
-#: Entries of a CF-tree beyond which it is built again with twice the threshold.
-MOST_ENTRIES = 2000
+#: Bytes that a CF-tree's entries may take before it is built again with a greater threshold.
+TREE_MEMORY = 64 << 20
+SEED = 5
+
+
+def summaries(frame: MultiFrame, group_rows: int, first: Callable[[np.ndarray], pa.Table], merge: Callable[[pa.Table], pa.Table], schema: str, fan: int) -> list:
+    """Rows of the last summary. ``first`` summarises the flat vectors of a group of about ``group_rows``, in the order of ``_id``; ``merge`` the summaries of ``fan`` groups, in the order of ``at``, which ``schema`` starts with."""
+    ms, groups = frame.modalities, max(1, -(-frame.amount // group_rows))
+    number = F.pmod(F.xxhash64(F.col(ID), F.lit(SEED)), F.lit(groups)) if groups > 1 else F.lit(0).cast("long")
+    slim = frame.df.select(ID, *(m.name for m in ms), number.alias("at"))
+
+    def ranked(t: pa.Table, at: int) -> pa.Table:
+        return t.add_column(0, "at", pa.array(np.arange(len(t)) + at * (1 << 32)))
+
+    def start(t: pa.Table) -> pa.Table:
+        t = t.sort_by(ID).combine_chunks()
+        return ranked(first(blocks(t.to_batches()[0], ms)), t.column("at")[0].as_py())
+
+    def on(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        return ranked(merge(t.drop_columns(["g", "at"])), t.column("g")[0].as_py())
+
+    now = slim.groupBy("at").applyInArrow(start, schema)
+    while True:
+        now = cut(now, "summaries")
+        if groups == 1:
+            return now.orderBy("at").collect()
+        groups = -(-groups // fan)
+        now = now.withColumn("g", F.floor(F.shiftright("at", 32) / fan)).groupBy("g").applyInArrow(on, schema)
 
 
 class CFNode:
@@ -37,9 +72,12 @@ class CFNode:
 
 
 class CFTree:
-    def __init__(self, modalities, branches: int, threshold: float, most: int = MOST_ENTRIES):
-        self.ms, self.branches, self.threshold, self.most = modalities, branches, threshold, most
+    """``most``: entries beyond which the tree is built again, with the mean distance of the leaves' closest entries as threshold, at least twice as much as before."""
+
+    def __init__(self, modalities, branches: int, threshold: float, most: int | None = None):
+        self.ms, self.branches, self.threshold = modalities, branches, threshold
         self.dim = sum(m.dim for m in modalities)
+        self.most = TREE_MEMORY // (8 * (self.dim + 1)) if most is None else most
         self.root, self.size = CFNode(self.dim), 0
 
     def insert(self, n: float, s: np.ndarray) -> None:
@@ -93,40 +131,65 @@ class CFTree:
             todo += node.children
         return np.concatenate(n), np.concatenate(s)
 
+    def _leaves(self) -> list[CFNode]:
+        todo, out = [self.root], []
+        while todo:
+            node = todo.pop()
+            todo += node.children
+            if node.leaf and len(node.n):
+                out.append(node)
+        return out
+
     def _rebuild(self) -> None:
+        closest = []
+        for leaf in self._leaves():
+            if len(leaf.n) > 1:
+                d = pairwise(self.ms, leaf.means, leaf.means)
+                closest.append(d[np.triu_indices(len(d), 1)].min())
         n, s = self.entries()
-        self.threshold = self.threshold * 2 or 1e-6
+        self.threshold = max(2 * self.threshold, float(np.mean(closest)) if closest else 0.0, 1e-6)
         self.root, self.size = CFNode(self.dim), 0
         for a, b in zip(n, s):
             self.insert(a, b)
 
 
 class Birch(Algorithm):
-    """A CF-tree in each partition, weighted k-means of all leaf entries, then k-means rounds over the rows."""
+    """A CF-tree for each group of rows, trees merged with others, weighted k-means of the last one's leaf entries, then k-means rounds over the rows.
+
+    ``group_rows``: rows of a group; ``memory``: bytes of a tree's entries, beyond which its threshold rises. Both are the same whatever the
+    partitions, and with ``threshold`` 0 every row that fits is an entry of its own.
+    """
 
-    def __init__(self, k: int, max_branches: int = 50, threshold: float = 0.0, max_iterations: int = 20, seed: int = 0):
-        check(k=k >= 2, max_branches=max_branches >= 2, threshold=threshold >= 0, max_iterations=max_iterations >= 1)
-        super().__init__(k=k, max_branches=max_branches, threshold=threshold, max_iterations=max_iterations, seed=seed)
+    def __init__(self, k: int, max_branches: int = 50, threshold: float = 0.0, max_iterations: int = 20, seed: int = 0, group_rows: int = 10_000, memory: int = TREE_MEMORY):
+        check(k=k >= 2, max_branches=max_branches >= 2, threshold=threshold >= 0, max_iterations=max_iterations >= 1, group_rows=group_rows >= 1, memory=memory >= 1024)
+        super().__init__(k=k, max_branches=max_branches, threshold=threshold, max_iterations=max_iterations, seed=seed, group_rows=group_rows, memory=memory)
 
-    def fit(self, frame: MultiFrame) -> CentreModel:
+    def entries(self, frame: MultiFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and sums of the leaf entries of the last tree."""
         p, ms = self.params, frame.modalities
-        if frame.amount < p["k"]:
-            raise RuntimeError(f"not enough rows for {p['k']} clusters")
+        most = max(2 * p["k"], p["memory"] // (8 * (frame.global_dim + 1)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = CFTree(ms, p["max_branches"], p["threshold"])
-            for b in batches:
-                for x in blocks(b, ms):
-                    tree.insert(1.0, x)
+        def built(n: np.ndarray, s: np.ndarray, threshold: float) -> pa.Table:
+            tree = CFTree(ms, p["max_branches"], threshold, most)
+            for a, x in zip(n, s):
+                tree.insert(a, x)
             n, s = tree.entries()
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array([v.tolist() for v in s], pa.list_(pa.float64()))], names=["n", "s"])
+            return pa.table({"n": n, "s": pa.array([v.tobytes() for v in s], pa.binary()), "threshold": np.full(len(n), tree.threshold)})
 
+        def merge(t: pa.Table) -> pa.Table:
+            s = np.array([np.frombuffer(x.as_buffer()) for x in t.column("s")])
+            return built(t.column("n").to_numpy(), s, float(t.column("threshold").to_numpy().max()))
+
+        rows = summaries(frame, p["group_rows"], lambda x: built(np.ones(len(x)), x, p["threshold"]), merge, "at long, n double, s binary, threshold double", 8)
+        return np.array([r.n for r in rows]), np.array([np.frombuffer(r.s) for r in rows])
+
+    def fit(self, frame: MultiFrame) -> CentreModel:
+        p, ms = self.params, frame.modalities
+        if frame.amount < p["k"]:
+            raise RuntimeError(f"not enough rows for {p['k']} clusters")
         with kept(frame.df) as df:
-            slim = df.select(ID, *(m.name for m in ms))
-            parts = max(1, min(slim.rdd.getNumPartitions(), frame.amount // 1000 + 1))
-            rows = slim.repartitionByRange(parts, ID).sortWithinPartitions(ID).mapInArrow(run, "n double, s array<double>").orderBy("s").collect()
-            n = np.array([r.n for r in rows])
-            centres = local_kmeans(np.array([r.s for r in rows]) / n[:, None], n, p["k"], p["max_iterations"], ms, p["seed"])
+            n, s = self.entries(frame.like(df))
+            centres = local_kmeans(s / n[:, None], n, p["k"], p["max_iterations"], ms, p["seed"])
             return CentreModel(lloyd(frame.like(df), centres, p["max_iterations"], 1e-7), ms)
 
 
@@ -140,71 +203,103 @@ def scattered(x: np.ndarray, mean: np.ndarray, most: int, modalities) -> np.ndar
     return x[at]
 
 
-def agglomerate(points: list[tuple[np.ndarray, np.ndarray, int]], k: int, most: int, shrink: float, modalities, drop_below: int = 0) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Merges the closest clusters ``(representatives, mean, rows)`` until ``k`` are left; with ``drop_below`` clusters of fewer representatives don't count."""
-    clusters = dict(enumerate(points))
-    reps = {i: c[0] for i, c in clusters.items()}
-    keys = list(clusters)
-    flat = np.concatenate([reps[i] for i in keys])
-    owner = np.repeat(np.arange(len(keys)), [len(reps[i]) for i in keys])
-    d = pairwise(modalities, flat, flat)
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    m = np.minimum.reduceat(np.minimum.reduceat(d, first, axis=0), first, axis=1)
-    np.fill_diagonal(m, np.inf)
-    alive = np.ones(len(keys), bool)
+class Bunch:
+    """A cluster on the way: its points, its representatives, the mean and number of its rows."""
 
-    def counted() -> int:
-        return int(sum(len(clusters[i][0]) >= drop_below for i in np.flatnonzero(alive)))
+    def __init__(self, points: np.ndarray, reps: np.ndarray, mean: np.ndarray, n: int):
+        self.points, self.reps, self.mean, self.n = points, reps, mean, n
 
-    while counted() > k and alive.sum() > 1:
-        i, j = divmod(int(m.argmin()), len(m))
+    def with_(self, other: Bunch, most: int, shrink: float, modalities) -> Bunch:
+        """Representatives are scattered over all points and moved towards the mean once."""
+        points, n = np.concatenate([self.points, other.points]), self.n + other.n
+        mean = (self.mean * self.n + other.mean * other.n) / n
+        reps = scattered(points, mean, most, modalities) if len(points) > most else points
+        return Bunch(points, reps + shrink * (mean - reps), mean, n)
+
+
+def agglomerate(bunches: list[Bunch], k: int, most: int, shrink: float, modalities, drop_below: int = 0) -> list[Bunch]:
+    """Merges the two closest clusters until ``k`` are left; with ``drop_below``, clusters of fewer representatives don't count.
+
+    Clusters are as far apart as their closest representatives. Each has its nearest other in an array, and a heap gives the closest pair;
+    of equal ones that of the earliest clusters. After a merger only those are looked at again whose nearest is gone.
+    """
+    c: list[Bunch | None] = list(bunches)
+    slot = np.concatenate([b.reps for b in bunches])
+    owner = np.repeat(np.arange(len(c)), [len(b.reps) for b in bunches])
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    m = np.minimum.reduceat(np.minimum.reduceat(pairwise(modalities, slot, slot), first, axis=0), first, axis=1)
+    np.fill_diagonal(m, np.inf)
+    near = m.argmin(1)
+    heap = [(float(m[i, near[i]]), i, int(near[i])) for i in range(len(c))]
+    heapq.heapify(heap)
+    alive, counted = len(c), sum(len(b.reps) >= drop_below for b in c)
+    while counted > k and alive > 1:
+        d, i, j = heapq.heappop(heap)
+        if c[i] is None or c[j] is None or near[i] != j or m[i, j] != d:
+            continue  # from before a merger
         i, j = min(i, j), max(i, j)
-        (ri, mi, ni), (rj, mj, nj) = clusters[i], clusters[j]
-        mean = (mi * ni + mj * nj) / (ni + nj)
-        new = scattered(np.concatenate([ri, rj]), mean, most, modalities)
-        clusters[i] = (new + shrink * (mean - new), mean, ni + nj)
-        alive[j] = False
+        old, new = (c[i], c[j]), c[i].with_(c[j], most, shrink, modalities)
+        c[i], c[j] = new, None
+        alive -= 1
+        counted += int(len(new.reps) >= drop_below) - sum(len(b.reps) >= drop_below for b in old)
+        own = np.flatnonzero((owner == i) | (owner == j))  # at least as many as the new representatives
+        owner[own] = -1
+        owner[own[: len(new.reps)]] = i
+        slot[own[: len(new.reps)]] = new.reps
+        to = pairwise(modalities, new.reps, slot).min(0)
+        row = np.full(len(c), np.inf)
+        live = owner >= 0
+        np.minimum.at(row, owner[live], to[live])
+        row[i] = np.inf
         m[j, :] = m[:, j] = np.inf
-        for o in np.flatnonzero(alive):
-            if o != i:
-                m[i, o] = m[o, i] = pairwise(modalities, clusters[i][0], clusters[o][0]).min()
-    return [clusters[i] for i in np.flatnonzero(alive)]
+        m[i, :] = m[:, i] = row
+        there = np.array([b is not None for b in c])
+        lost = there & ((near == i) | (near == j))
+        closer = there & ~lost & (row < m[np.arange(len(c)), near])
+        lost[i], closer[i] = alive > 1, False
+        near[closer] = i
+        for o in np.flatnonzero(lost).tolist():
+            near[o] = m[o].argmin()
+        for o in np.flatnonzero(lost | closer).tolist():
+            heapq.heappush(heap, (float(m[o, near[o]]), o, int(near[o])))
+    return [b for b in c if b is not None]
 
 
 class CURE(Algorithm):
-    """Rows are agglomerated in chunks of a partition, then the chunks' clusters together.
+    """Rows are agglomerated in groups, and the groups' clusters with others' until one group is left.
 
-    With ``remove_outliers`` clusters of fewer than ``representatives`` points are dropped when a chunk is down to twice
-    ``k``, and at the end; if that leaves none, the largest stay.
+    ``group_rows``: rows that are agglomerated at once (and, divided by ``k``, the groups whose clusters are); more rows find the clusters
+    of all at the cost of their square. What goes on from a group is up to ``representatives`` scattered points of each cluster, its
+    representatives, mean and number of rows. With ``remove_outliers`` clusters of fewer than ``representatives`` points are
+    dropped when a group is down to twice ``k``, and at the end; if that leaves none, the largest stay.
     """
 
-    CHUNK = 1000
-
-    def __init__(self, k: int, representatives: int = 10, shrink_factor: float = 0.3, remove_outliers: bool = False):
-        check(k=k >= 2, representatives=representatives >= 1, shrink_factor=0 < shrink_factor < 1)
-        super().__init__(k=k, representatives=representatives, shrink_factor=shrink_factor, remove_outliers=remove_outliers)
+    def __init__(self, k: int, representatives: int = 10, shrink_factor: float = 0.3, remove_outliers: bool = False, group_rows: int = 1000):
+        check(k=k >= 2, representatives=representatives >= 1, shrink_factor=0 < shrink_factor < 1, group_rows=group_rows >= 2 * k)
+        super().__init__(k=k, representatives=representatives, shrink_factor=shrink_factor, remove_outliers=remove_outliers, group_rows=group_rows)
 
     def fit(self, frame: MultiFrame) -> CentreModel:
-        p, ms = self.params, frame.modalities
-        k, most, shrink, drop, chunk = p["k"], p["representatives"], p["shrink_factor"], p["remove_outliers"], self.CHUNK
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = blocks(b, ms)
-                for s in range(0, len(x), chunk):
-                    c = [(v[None], v, 1) for v in x[s : s + chunk]]
-                    if len(c) > k:
-                        if drop:
-                            c = agglomerate(c, 2 * k, most, shrink, ms)
-                            c = [q for q in c if len(q[0]) >= most] or c
-                        c = agglomerate(c, k, most, shrink, ms)
-                    yield pa.RecordBatch.from_arrays([pa.array([q[0].ravel().tolist() for q in c], pa.list_(pa.float64())), pa.array([q[1].tolist() for q in c], pa.list_(pa.float64())), pa.array([q[2] for q in c], pa.int64())], names=["r", "m", "n"])
-
-        slim = frame.df.select(ID, *(m.name for m in ms))
-        parts = max(1, min(slim.rdd.getNumPartitions(), frame.amount // chunk + 1))
-        got = slim.repartitionByRange(parts, ID).sortWithinPartitions(ID).mapInArrow(run, "r array<double>, m array<double>, n long").orderBy("m").collect()
-        dim = frame.global_dim
-        c = agglomerate([(np.array(g.r).reshape(-1, dim), np.array(g.m), g.n) for g in got], k, most, shrink, ms, most if drop else 0)
+        p, ms, dim = self.params, frame.modalities, frame.global_dim
+        k, most, shrink, drop, rows = p["k"], p["representatives"], p["shrink_factor"], p["remove_outliers"], p["group_rows"]
+
+        def down(c: list[Bunch], last: bool) -> pa.Table:
+            if drop and not last and len(c) > k:
+                c = agglomerate(c, 2 * k, most, shrink, ms)
+                c = [b for b in c if len(b.reps) >= most] or c
+            if len(c) > k:
+                c = agglomerate(c, k, most, shrink, ms, most if drop and last else 0)
+            points = [scattered(b.points, b.mean, most, ms) if len(b.points) > most else b.points for b in c]
+            return pa.table({"p": pa.array([x.tobytes() for x in points], pa.binary()), "r": pa.array([b.reps.tobytes() for b in c], pa.binary()), "m": pa.array([b.mean.tobytes() for b in c], pa.binary()), "n": pa.array([b.n for b in c], pa.int64())})
+
+        def bunches(t) -> list[Bunch]:
+            of = lambda x: np.frombuffer(bytes(x)).reshape(-1, dim)
+            return [Bunch(of(r["p"]), of(r["r"]), of(r["m"])[0], r["n"]) for r in t]
+
+        one = frame.amount <= rows
+        got = summaries(frame, rows, lambda x: down([Bunch(v[None], v[None], v, 1) for v in x], one), lambda t: down(bunches(t.to_pylist()), True), "at long, p binary, r binary, m binary, n long", max(2, rows // k))
+        c = bunches([r.asDict() for r in got])
+        if not c:
+            raise RuntimeError("no rows")
         if drop:
-            c = sorted([q for q in c if len(q[0]) >= most] or c, key=lambda q: -q[2])[:k]
-        return CentreModel(np.concatenate([q[0] for q in c]), ms, np.repeat(np.arange(len(c)), [len(q[0]) for q in c]))
+            c = sorted([b for b in c if len(b.reps) >= most] or c, key=lambda b: -b.n)[:k]
+        return CentreModel(np.concatenate([b.reps for b in c]), ms, np.repeat(np.arange(len(c)), [len(b.reps) for b in c]))
