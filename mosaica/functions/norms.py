@@ -1,48 +1,110 @@
-"""The scale of a modality: an approximate diameter in a few passes, or the exact one over all pairs."""
+"""The scale of a modality: an approximate diameter in a few passes, or the exact one over all pairs.
+
+Passes are Arrow kernels that send one row a partition; all modalities go through them together.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..modality import ID, Modality
-from .distances import metric
+from .distances import matrix, pairwise
 
 ROUNDS = 5
 
 
-def farthest(df: DataFrame, m: Modality, pivot: list[float]) -> tuple[int, list[float], float] | None:
+def _alone(m: Modality) -> Modality:
+    return replace(m, norm=1.0, weight=1.0)
+
+
+def _farthest(df: DataFrame, pivots: dict[Modality, np.ndarray]) -> dict[Modality, tuple[int, np.ndarray, float]]:
+    """Of each modality the row farthest from its pivot; of equal ones that with the least identifier."""
+    ms = list(pivots)
+    slim = df.select(F.col(ID).cast("long").alias(ID), *(m.name for m in ms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, int, np.ndarray]] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(ID).to_numpy()
+            for k, m in enumerate(ms):
+                x = matrix(b.column(m.name), m.dim)
+                d = pairwise([_alone(m)], x, pivots[m][None])[:, 0]
+                far = np.flatnonzero(d == d.max())
+                i = far[ids[far].argmin()]
+                if k not in best or (-d[i], ids[i]) < (-best[k][0], best[k][1]):
+                    best[k] = (float(d[i]), int(ids[i]), x[i].copy())
+        for k, (d, i, x) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([d]), pa.array([i]), pa.array([x.tobytes()])], names=["k", "d", "i", "x"])
+
+    rows = slim.mapInArrow(run, "k long, d double, i long, x binary").collect()
+    out: dict[Modality, tuple[int, np.ndarray, float]] = {}
+    for r in sorted(rows, key=lambda r: (-r.d, r.i)):
+        out.setdefault(ms[r.k], (r.i, np.frombuffer(bytes(r.x)), r.d))
+    return out
+
+
+def farthest(df: DataFrame, m: Modality, pivot: Sequence[float]) -> tuple[int, list[float], float] | None:
     """The row farthest from ``pivot``; of equal ones that with the least identifier."""
-    at = F.array(*(F.lit(float(v)) for v in pivot))
-    d = metric(m.metric, m.name, "__pivot", m.dim)
-    got = df.select(ID, m.name).withColumn("__pivot", at).select(ID, m.name, d.alias("__d")).agg(F.max_by(F.struct(ID, m.name, "__d"), F.struct("__d", -F.col(ID))).alias("r")).first().r
-    return (got[ID], list(got[m.name]), got["__d"]) if got else None
+    got = _farthest(df, {m: np.asarray(pivot, float)}).get(m)
+    return (got[0], got[1].tolist(), got[2]) if got else None
+
+
+def approximate_diameters(df: DataFrame, modalities: Sequence[Modality], rounds: int = ROUNDS) -> dict[Modality, float]:
+    """Lower bounds of the diameters: from the row of the least identifier, to the farthest row and on from there, until the pair repeats."""
+    own = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    df = df.select(ID, *(m.name for m in modalities))
+    if own:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first = df.agg(F.min_by(F.struct(*(m.name for m in modalities)), ID).alias("r")).first().r
+        best = dict.fromkeys(modalities, 0.0)
+        if first is None:
+            return best
+        pair, pivot = {}, {m: np.asarray(first[m.name], float) for m in modalities}
+        for _ in range(rounds):
+            far = _farthest(df, pivot)
+            back = _farthest(df, {m: x for m, (_, x, _) in far.items()})
+            pivot = {m: back[m][1] for m in far if pair.get(m) != {far[m][0], back[m][0]}}
+            for m in far:
+                best[m] = max(best[m], far[m][2], back[m][2])
+                pair[m] = {far[m][0], back[m][0]}
+            if not pivot:
+                break
+        return best
+    finally:
+        if own:
+            df.unpersist()
 
 
 def approximate_diameter(df: DataFrame, m: Modality, rounds: int = ROUNDS) -> float:
-    """A lower bound of the diameter: from the row of the least identifier, to the farthest row and on from there, until the pair repeats."""
-    first = df.select(ID, m.name).agg(F.min_by(F.struct(ID, m.name), ID).alias("r")).first().r
-    if first is None:
-        return 0.0
-    pair, point, best = None, list(first[m.name]), 0.0
-    for _ in range(rounds):
-        far = farthest(df, m, point)
-        back = farthest(df, m, far[1])
-        best = max(best, far[2], back[2])
-        if pair == {far[0], back[0]}:
-            break
-        pair, point = {far[0], back[0]}, back[1]
-    return best
+    return approximate_diameters(df, [m], rounds)[m]
 
 
 def exact_diameter(df: DataFrame, m: Modality) -> float:
     """The greatest distance of all pairs."""
-    a = df.select(F.col(ID), F.col(m.name))
-    b = df.select(F.col(ID).alias("_id2"), F.col(m.name).alias("__b"))
-    return a.join(b, F.col(ID) < F.col("_id2")).agg(F.max(metric(m.metric, m.name, "__b", m.dim))).first()[0] or 0.0
+    from .tiles import over_pairs, tiles
+
+    one = [_alone(m)]
+
+    def run(pairs) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([max((float(pairwise(one, a.x, b.x).max()) for a, b in pairs), default=0.0)])], names=["d"])
+
+    return over_pairs(tiles(df, one), one, run, "d double", once=True).agg(F.max("d")).first()[0] or 0.0
+
+
+def with_norms(df: DataFrame, modalities: Sequence[Modality]) -> list[Modality]:
+    found = approximate_diameters(df, modalities)
+    return [replace(m, norm=found[m]) for m in modalities]
 
 
 def with_norm(df: DataFrame, m: Modality) -> Modality:
-    return replace(m, norm=approximate_diameter(df, m))
+    return with_norms(df, [m])[0]

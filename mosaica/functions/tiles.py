@@ -48,7 +48,10 @@ class Tile:
 def over_pairs(t: DataFrame, modalities: Sequence[Modality], f: Callable[[Iterator[tuple[Tile, Tile]]], Iterator[pa.RecordBatch]], schema: str, once: bool = False, other: DataFrame | None = None) -> DataFrame:
     """``f`` over all pairs of tiles that a task has; ``once``: each unordered pair once, by parity so that both halves share the work."""
     dim = sum(m.dim for m in modalities)
+    tasks = t.sparkSession.sparkContext.defaultParallelism
     right = (t if other is None else other).select(*(F.col(c).alias(f"{c}_2") for c in t.columns))
+    if t.rdd.getNumPartitions() < tasks:  # a few tiles would be one task's work
+        t = t.repartition(tasks, "tile")
     pairs = t.crossJoin(right)
     if once:
         pairs = pairs.where("tile = tile_2 or ((tile < tile_2) = (abs(tile - tile_2) % 2 = 1))")

@@ -1,17 +1,17 @@
 """Nineteen features of a data set from the distances of all pairs of its rows.
 
-One pass over pairs of tiles gives count, sum and power sums about a pivot and the histogram of distances; a second one, which needs
-mean and deviation, gives the shares by standard score.
+One pass over pairs of tiles gives count, mean, central power sums and the histogram of distances, as partial results that are merged; a
+second one, which needs mean and deviation, gives the shares by standard score.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from ..functions.distances import pairwise
 from ..functions.tiles import over_pairs, tiles
@@ -32,26 +32,46 @@ def meta_features(frame: MultiFrame) -> list[float]:
             d = pairwise(ms, a.x, b.x)
             yield d[a.ids[:, None] < b.ids[None, :]] if a.tile == b.tile else d.ravel()
 
-    def over(f, width: int) -> np.ndarray:
+    def over(f) -> list[np.ndarray]:
+        """``f`` of the distances of each task, those without any left out."""
+
         def run(both) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width)
-            for d in distances(both):
-                total += f(d)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"c{i}" for i in range(width)])
+            total = f(distances(both))
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["x"])
 
-        names = [f"c{i}" for i in range(width)]
-        got = over_pairs(t, ms, run, ", ".join(f"{c} double" for c in names), once=True).agg(*(F.sum(c).alias(c) for c in names)).first()
-        return np.array([got[c] for c in names])
+        return [np.frombuffer(bytes(r.x)) for r in over_pairs(t, ms, run, "x binary", once=True).collect()]
 
-    mean = over(lambda d: np.array([d.sum()]), 1)[0] / pairs
     edges = np.arange(11) * 0.1
 
-    def moments(d: np.ndarray) -> np.ndarray:
-        c = d - mean
-        at = np.minimum(np.searchsorted(edges, d, "right") - 1, 9)
-        return np.concatenate([[(c**2).sum(), (c**3).sum(), (c**4).sum()], np.bincount(at[d <= edges[10]], minlength=10)])
+    def moments(every) -> np.ndarray | None:
+        total = None
+        for d in every:
+            if not d.size:
+                continue
+            at = np.minimum(np.searchsorted(edges, d, "right") - 1, 9)
+            c = d - d.mean()
+            now = np.concatenate([[d.size, d.mean(), (c**2).sum(), (c**3).sum(), (c**4).sum()], np.bincount(at[d <= edges[10]], minlength=10)])
+            total = now if total is None else merged(total, now)
+        return total
+
+    m = reduce(merged, over(moments))
+    mean, (variance, m3, m4) = m[1], m[2:5] / pairs
+    std = math.sqrt(variance)
+
+    def scores(every) -> np.ndarray:
+        return sum((np.bincount(np.minimum(((d - mean) / std)[d >= mean].astype(int), 3), minlength=4) for d in every), np.zeros(4)).astype(float)
+
+    z = sum(over(scores)) / pairs if std else np.array([1.0, 0, 0, 0])
+    return [mean, variance, std, m3 / std**3 if std else 0.0, m4 / std**4 - 3 if std else 0.0, *(m[5:] / pairs).tolist(), *z.tolist()]
+
 
-    m = over(moments, 13) / pairs
-    variance, std = m[0], math.sqrt(m[0])
-    z = over(lambda d: np.bincount(np.minimum(((d - mean) / std)[d >= mean].astype(int), 3), minlength=4), 4) / pairs if std else np.array([1.0, 0, 0, 0])
-    return [mean, variance, std, m[1] / std**3 if std else 0.0, m[2] / std**4 - 3 if std else 0.0, *m[3:].tolist(), *z.tolist()]
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts, means and sums of the second to fourth powers of differences from the mean, of two parts together; the rest is added."""
+    n, d = a[0] + b[0], b[1] - a[1]
+    out = a + b
+    out[0], out[1] = n, a[1] + d * b[0] / n
+    out[2] += d**2 * a[0] * b[0] / n
+    out[3] += d**3 * a[0] * b[0] * (a[0] - b[0]) / n**2 + 3 * d * (a[0] * b[2] - b[0] * a[2]) / n
+    out[4] += d**4 * a[0] * b[0] * (a[0] ** 2 - a[0] * b[0] + b[0] ** 2) / n**3 + 6 * d**2 * (a[0] ** 2 * b[2] + b[0] ** 2 * a[2]) / n**2 + 4 * d * (a[0] * b[3] - b[0] * a[3]) / n
+    return out

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import PCA, MinMaxScaler, OneHotEncoder, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegralType, NumericType, StringType
 
+from ..functions.distances import matrix
 from ..functions.encoders import Encoder, encode_column
-from ..functions.norms import with_norm
+from ..functions.norms import with_norms
 from ..modality import CLASS, ID, METRICS, Modality, MultiFrame
 from ..session import cut
 
@@ -86,8 +89,17 @@ class Ranges:
 
     @staticmethod
     def fit(df: DataFrame, name: str, dim: int) -> Ranges:
-        r = df.agg(*(f(F.col(name)[i]).alias(f"{t}{i}") for i in range(dim) for t, f in (("lo", F.min), ("hi", F.max)))).first()
-        return Ranges(name, [r[f"lo{i}"] or 0.0 for i in range(dim)], [r[f"hi{i}"] or 0.0 for i in range(dim)])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lo, hi = np.full(dim, np.nan), np.full(dim, np.nan)
+            for b in batches:
+                if b.num_rows:
+                    x = matrix(b.column(0), dim)
+                    lo, hi = np.fmin(lo, np.fmin.reduce(x)), np.fmax(hi, np.fmax.reduce(x))
+            yield pa.RecordBatch.from_arrays([pa.array([lo.tobytes()]), pa.array([hi.tobytes()])], names=["lo", "hi"])
+
+        rows = df.select(F.col(name).cast("array<double>").alias(name)).mapInArrow(run, "lo binary, hi binary").collect()
+        lo, hi = (np.nan_to_num(f.reduce([np.frombuffer(bytes(r[c])) for r in rows] or [np.zeros(dim)])) for f, c in ((np.fmin, "lo"), (np.fmax, "hi")))
+        return Ranges(name, lo.tolist(), hi.tolist())
 
     def apply(self, df: DataFrame) -> DataFrame:
         parts = [F.lit(0.0) if lo == hi else F.lit(2.0) * (F.col(self.name)[i] - lo) / (hi - lo) - 1 for i, (lo, hi) in enumerate(zip(self.low, self.high))]
@@ -329,5 +341,5 @@ class Builder:
             df = s.fit(df)
             ms.append(Modality(name, s.dim, self.metrics[name], w_dim=s.w_dim))
         df = cut(df.select(ID, *([CLASS] if self.class_col else []), *(m.name for m in ms)), "prepared")
-        ms = [with_norm(df, m) for m in auto_weights(ms, self.weights)]
+        ms = with_norms(df, auto_weights(ms, self.weights))
         return Prepared(df, tuple(ms), df.count(), tuple(self.stages[m.name] for m in ms))
