@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,16 +103,37 @@ def metric_sql(name: str, a: str, b: str) -> str:
 
 def _distance(metric: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = embedded(spark, sf_dir).df.select(ID, "e")
-        other = df.select(F.col(ID).alias("id2"), F.col("e").alias("e2"))
-        pairs = df.join(other, F.col(ID) != F.col("id2")).select(ID, dist.metric(metric, "e", "e2", 64).alias("d"))
-        return pairs.groupBy(F.col(ID).alias("vec_id")).agg(r6(F.sum("d")).alias("total"), r6(F.min("d")).alias("least"), r6(F.max("d")).alias("most"))
+        f = embedded(spark, sf_dir, metric)
+        ms = f.modalities
+
+        def over(pairs):
+            for a, b in pairs:
+                d = dist.pairwise(ms, a.x, b.x)
+                own = a.ids[:, None] == b.ids[None, :]
+                low, high = np.where(own, np.inf, d).min(1), np.where(own, -np.inf, d).max(1)
+                some = np.flatnonzero(low < np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a.ids, np.where(own, 0, d).sum(1), low, high)], names=["id", "s", "l", "m"])
+
+        got = over_pairs(tiles(f.df, ms), ms, over, "id long, s double, l double, m double")
+        return got.groupBy(F.col("id").alias("vec_id")).agg(r6(F.sum("s")).alias("total"), r6(F.min("l")).alias("least"), r6(F.max("m")).alias("most"))
+
+    return run
+
+
+def _expression(metric: str) -> Query:
+    """Each row's distance from the first, as a column expression."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = embedded(spark, sf_dir).df
+        first = df.agg(F.min_by("e", ID).alias("o"))
+        return df.crossJoin(F.broadcast(first)).select(F.col(ID).alias("vec_id"), r6(dist.metric(metric, "e", "o", 64)).alias("d"))
 
     return run
 
 
 for _k, _m in enumerate(("manhattan", "euclidean", "chebyshev", "canberra", "cosine"), 1):
     query(f"d{_k}_{_m}", f"WITH {V}, p AS (SELECT a.id, {metric_sql(_m, 'a.e', 'b.e')} AS d FROM v a JOIN v b ON a.id <> b.id) SELECT id AS vec_id, round(sum(d), 6) AS total, round(min(d), 6) AS least, round(max(d), 6) AS most FROM p GROUP BY id")(_distance(_m))
+    query(f"d{_k}_{_m}_expression", f"WITH {V}, o AS (SELECT e FROM v ORDER BY id LIMIT 1) SELECT v.id AS vec_id, round({metric_sql(_m, 'v.e', 'o.e')}, 6) AS d FROM v, o")(_expression(_m))
 
 HALVES = f"{V}, h AS (SELECT id, l, e[1:32] AS m1, e[33:64] AS m2 FROM v), norms AS (SELECT max({metric_sql('manhattan', 'a.m1', 'b.m1')}) AS n1, max({metric_sql('euclidean', 'a.m2', 'b.m2')}) AS n2 FROM h a JOIN h b ON a.id < b.id)"
 MULTI = f"sqrt(0.4 * ({metric_sql('manhattan', 'a.m1', 'b.m1')} / n1) ** 2 + 0.6 * ({metric_sql('euclidean', 'a.m2', 'b.m2')} / n2) ** 2)"
@@ -129,8 +152,6 @@ def d7_multimodal(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = f.modalities
 
     def run(pairs):
-        import pyarrow as pa
-
         for a, b in pairs:
             d = dist.pairwise(ms, a.x, b.x)
             yield pa.RecordBatch.from_arrays([pa.array(a.ids), pa.array(d.sum(1)), pa.array(d.max(1))], names=["id", "s", "m"])
@@ -230,11 +251,21 @@ def l7_flatten_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col(ID).alias("vec_id"), r6(F.col("g")).alias("by_global"), r6(F.aggregate("m2", F.lit(0.0), lambda a, b: a + b)).alias("second"))
 
 
-@query("l8_same_rows", "SELECT a.vec_id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_max(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: abs(p[1] - p[2]))) < 1e-12")
+@query("l3_elementwise", f"WITH {V}, o AS (SELECT e FROM v ORDER BY id LIMIT 1) SELECT id AS vec_id, round({total('v.e', 'o.e', 'least(p[1], p[2])')}, 6) AS low, round({total('v.e', 'o.e', 'greatest(p[1], p[2])')}, 6) AS high FROM v, o")
+def l3_elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = embedded(spark, sf_dir).df
+    both = df.crossJoin(F.broadcast(df.agg(F.min_by("e", ID).alias("o"))))
+    added = lambda f: r6(F.aggregate(dist.elementwise("e", "o", f), F.lit(0.0), lambda a, b: a + b))
+    return both.select(F.col(ID).alias("vec_id"), added(F.least).alias("low"), added(F.greatest).alias("high"))
+
+
+@query("l8_same_rows", "SELECT vec_id, (vec_id % 3 <> 0) AS same FROM embeddings")
 def l8_same_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row beside a copy; of every third the last coordinate is off by more than the tolerance, of the others by less."""
     df = embedded(spark, sf_dir).df.select(F.col(ID).alias("vec_id"), "e")
-    other = df.select(F.col("vec_id").alias("other"), F.col("e").alias("e_2"))
-    return df.join(other, F.col("vec_id") < F.col("other")).where(dist.same([E1])).select("vec_id", "other")
+    off = F.when(F.col("vec_id") % 3 == 0, 1e-9).otherwise(1e-13)
+    copy = F.transform("e", lambda x, i: F.when(i == 63, x + off).otherwise(x))
+    return df.withColumn("e_2", copy).select("vec_id", dist.same([E1]).alias("same"))
 
 
 # ---- preparation --------------------------------------------------------------------------------------------------
@@ -296,11 +327,29 @@ def p16_vector_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(prep.dim_of(table(spark, sf_dir, "embeddings"), "embedding"),)], "dim int")
 
 
-@query("p17_pca")
+class LengthEncoder:
+    """Characters and words of a text: an encoder whose vectors SQL can check."""
+
+    dim = 2
+
+    def load(self) -> None:
+        pass
+
+    def encode(self, values: list):
+        return np.array([[len(v or ""), len((v or "").split(" "))] for v in values], float).reshape(len(values), 2)
+
+
+_LENGTHS = "x AS (SELECT doc_id, length(coalesce(text, ''))::FLOAT::DOUBLE AS a, len(string_split(coalesce(text, ''), ' '))::FLOAT::DOUBLE AS b FROM documents)"
+_LENGTHS_SCALED = f"WITH {_LENGTHS}, y AS (SELECT doc_id, 2 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) - 1 AS a, 2 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) - 1 AS b FROM x)"
+
+
+@query("p17_pca", f"{_LENGTHS_SCALED}, c AS (SELECT var_samp(a) AS p, var_samp(b) AS q, covar_samp(a, b) AS r FROM y), l AS (SELECT (p + q) / 2 + sqrt(((p - q) / 2) ** 2 + r * r) AS big, p, q, r FROM c), z AS (SELECT doc_id, (r * a + (big - p) * b) / sqrt(r * r + (big - p) ** 2) AS t, big / (p + q) AS share FROM y, l) SELECT doc_id, round(share, 6) AS share, round(abs(2 * (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) - 1), 4) AS place FROM z")
 def p17_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = prep.DeepStage("text", HashingEncoder(64))
+    """The first component of two scaled features, scaled again; without its sign, which PCA leaves open."""
+    s = prep.DeepStage("text", LengthEncoder())
     df = s.fit(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return df.select("doc_id", F.size("text").alias("dim"))
+    share = float(s.pca.explainedVariance.toArray()[0])
+    return df.select("doc_id", F.lit(round(share, DIGITS)).alias("share"), F.round(F.abs(F.col("text")[0]), 4).alias("place"))
 
 
 @query(
@@ -380,11 +429,15 @@ def s6_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.from_pandas(spark, table(spark, sf_dir, "region").toPandas())
 
 
-@query("s7_list_files")
+@query("s7_list_files", "SELECT r_regionkey::INTEGER AS folder, 1::BIGINT AS files FROM region")
 def s7_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text file in a folder for each region, and others that the pattern leaves out."""
     p = _path(spark, "text")
-    table(spark, sf_dir, "region").select("r_name").write.text(p)
-    return files.list_files(spark, p, "*.txt")
+    t = table(spark, sf_dir, "region").coalesce(1).select("r_name", F.col("r_regionkey").alias("folder"))
+    t.write.partitionBy("folder").text(p)
+    t.write.mode("append").partitionBy("folder").csv(p)
+    found = files.list_files(spark, p, "*.txt")
+    return found.select(F.regexp_extract("img_path", "folder=([0-9]+)/", 1).cast("int").alias("folder")).groupBy("folder").agg(F.count("*").alias("files"))
 
 
 @query("s8_read_bytes", "SELECT sum(length(r_name) + 1)::BIGINT AS bytes FROM region")
@@ -407,9 +460,10 @@ def s11_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.zip_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), table(spark, sf_dir, "nation").select("n_name", "n_nationkey"), "s_suppkey", "n_nationkey").select("s_suppkey", "n_name")
 
 
-@query("s12_blobs")
+@query("s12_blobs", "SELECT 2000::BIGINT AS rows, 5::BIGINT AS classes, 2000::BIGINT AS ids, 30 AS first, 20 AS second")
 def s12_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blobs(spark, 2000, 5).df.groupBy(CLASS).agg(F.count("*").alias("rows"))
+    f = blobs(spark, 2000, 5)
+    return f.df.agg(F.count("*").alias("rows"), F.countDistinct(CLASS).alias("classes"), F.countDistinct(ID).alias("ids"), F.max(F.size("m1")).alias("first"), F.max(F.size("m2")).alias("second"))
 
 
 # ---- internal measures --------------------------------------------------------------------------------------------
@@ -508,6 +562,21 @@ def e13_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _SETS[""][3](table(spark, sf_dir, "embeddings")).groupBy(CLASS, LABEL).agg(F.count("*").alias("rows"))
 
 
+_CONJUGATE = [m.value for m in external.External if m.value not in ("rand", "jaccard", "fowlkes_mallows", "phi")]
+
+
+@query("e13_conjugate", f"{_cells('orders', 'o_orderstatus', 'o_orderpriority')} " + " UNION ALL ".join(f"SELECT '{m}' AS measure, round(({_EXTERNAL[m]})::DOUBLE, 6) AS value FROM q" for m in _CONJUGATE))
+def e13_conjugate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = external.External.conjugate(_SETS["_orders"][3](table(spark, sf_dir, "orders")))
+    return spark.createDataFrame([(m, round(float(v), DIGITS)) for m, v in got.items()], "measure string, value double")
+
+
+@query("e12_pairwise", f"{_cells('orders', 'o_orderstatus', 'o_orderpriority')} " + " UNION ALL ".join(f"SELECT '{m}' AS measure, round(({_EXTERNAL[m]})::DOUBLE, 6) AS value FROM q" for m in ("rand", "jaccard", "fowlkes_mallows", "phi")))
+def e12_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = external.External.pairwise(_SETS["_orders"][3](table(spark, sf_dir, "orders")))
+    return spark.createDataFrame([(m, round(float(v), DIGITS)) for m, v in got.items()], "measure string, value double")
+
+
 # ---- meta-features and search -------------------------------------------------------------------------------------
 
 _META = f"WITH {V}, nrm AS (SELECT max(list_distance(a.e, b.e)) AS m FROM v a JOIN v b ON a.id < b.id), p AS (SELECT list_distance(a.e, b.e) / m AS d FROM v a JOIN v b ON a.id < b.id, nrm), s AS (SELECT avg(d) AS mu, sqrt(avg(d * d) - avg(d) ** 2) AS sd0, count(*) AS n FROM p), t AS (SELECT mu, n, avg((d - mu) ** 2) AS v2, avg((d - mu) ** 3) AS v3, avg((d - mu) ** 4) AS v4 FROM p, s GROUP BY mu, n), q AS (SELECT *, sqrt(v2) AS sd FROM t) "
@@ -666,10 +735,81 @@ for _name, _make in {
     query(_name)(_fitted(_make))
 
 
-@query("u1_text_encoder")
+@query("u1_text_encoder", f"WITH {_LENGTHS} SELECT doc_id, a AS chars, b AS words FROM x")
 def u1_text_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = encode_column(LengthEncoder(), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", e.alias("e")).select("doc_id", F.col("e")[0].alias("chars"), F.col("e")[1].alias("words"))
+
+
+@query("u1_hashing_encoder", "SELECT doc_id, 64 AS dim, CASE WHEN len(regexp_extract_all(coalesce(text, ''), '\\S+')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM documents")
+def u1_hashing_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", encode_column(HashingEncoder(64), "text").alias("e"))
-    return t.select("doc_id", F.size("e").alias("dim"), r6(dist.norm2("e", 64)).alias("length"))
+    return t.select("doc_id", F.size("e").alias("dim"), F.round(dist.norm2("e", 64), 5).alias("length"))
+
+
+# Clusterings of rows whose groups SQL knows: five groups of customers, far from each other and of a nation's numbers each.
+
+_GROUPS = 5
+_GROUP_SQL = f"SELECT (c_nationkey % {_GROUPS})::INTEGER AS grp, 1::BIGINT AS labels, {_GROUPS}::BIGINT AS clusters, count(*) AS rows FROM customer GROUP BY 1"
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> MultiFrame:
+    """Customers on a plane: the group's place on a circle and a little of the account's balance."""
+    g = F.col("c_nationkey") % _GROUPS
+    at = lambda f, c: F.lit(10.0) * f(g * (2 * np.pi / _GROUPS)) + c
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(ID), g.cast("int").alias(CLASS), F.array(at(F.cos, F.col("c_acctbal") / 10_000), at(F.sin, (F.col("c_custkey") % 97) / 97.0)).alias("p"))
+    f = MultiFrame.of(df, [Modality("p", 2)])
+    return replace(f, modalities=(replace(f.modalities[0], norm=exact_diameter(df, f.modalities[0])),))
+
+
+def _found(make) -> Query:
+    """Each group's rows, and in how many clusters they are and how many there are in all."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = grouped(spark, sf_dir)
+        got = make().fit_predict(f.like(f.df.drop(CLASS))).df.select(ID, LABEL).join(f.df.select(ID, CLASS), ID)
+        every = got.agg(F.countDistinct(LABEL).alias("clusters"))
+        return got.groupBy(F.col(CLASS).alias("grp")).agg(F.countDistinct(LABEL).alias("labels"), F.count("*").alias("rows")).crossJoin(F.broadcast(every))
+
+    return run
+
+
+for _name, _make in {
+    "c1_kmeans": lambda: KMeans(_GROUPS, 20, seed=1),
+    "c2_bisecting": lambda: BisectingKMeans(_GROUPS, 20, min_cluster_size=0.0, seed=1),
+    "c3_mean_shift": lambda: MeanShift(0.2, 10, 20, initial=30, seed=1),
+    "c4_birch": lambda: Birch(_GROUPS, 20, 0.02, 10, seed=1, group_rows=400),
+    "c5_dbscan": lambda: DBSCAN(0.1, 5),
+    "c7_cure": lambda: CURE(_GROUPS, 6, 0.3, group_rows=400),
+    "c7_cure_outliers": lambda: CURE(_GROUPS, 4, 0.3, remove_outliers=True, group_rows=400),
+    "c9_spectral_similarity": lambda: SpectralSimilarity(200.0, _GROUPS, _GROUPS, 20, seed=1),
+}.items():
+    query(f"{_name}_groups", _GROUP_SQL)(_found(_make))
+
+
+def _eigen(make) -> Query:
+    """Of each pair the residual by a join of the graph's entries with the vector, the vector's length, and its product with the next one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f, a = plain(_normed(spark, sf_dir)), make()
+        m = f.modalities[0]
+        ids, [(w, x)] = a.eigenvectors(f)
+        v = spark.createDataFrame(pa.table({ID: ids, "x": pa.array(x.tolist())}))
+        entries = a.entries(f, m) if hasattr(a, "entries") else affinity(f.df, [m], a.params["gamma"]).withColumnRenamed("w", "v")
+        other = v.select(F.col(ID).alias("neighbour"), F.posexplode("x").alias("k", "y"))
+        product = entries.join(other, "neighbour").groupBy(ID, "k").agg(F.sum(F.col("v") * F.col("y")).alias("ax"))
+        own = v.select(ID, "x", F.posexplode("x").alias("k", "y"))
+        values = F.element_at(F.array(*(F.lit(float(e)) for e in w)), F.col("k") + 1)
+        r = product.join(own, [ID, "k"]).withColumn("r", F.col("ax") - values * F.col("y"))
+        turned = lambda c: F.abs(F.round(c, 6)) + 0.0
+        return r.groupBy("k").agg(turned(F.sqrt(F.sum(F.col("r") ** 2))).alias("residual"), r6(F.sum(F.col("y") ** 2)).alias("length"), turned(F.sum(F.col("y") * F.coalesce(F.get("x", F.col("k") + 1), F.lit(0.0)))).alias("next"))
+
+    return run
+
+
+_EIGEN_SQL = "SELECT k::INTEGER AS k, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length, 0.0::DOUBLE AS next FROM range(8) t(k)"
+query("c8_eigenvectors", _EIGEN_SQL)(_eigen(lambda: SpectralAdjacency(10, 8, 10, 20, seed=1)))
+query("c9_eigenvectors", _EIGEN_SQL)(_eigen(lambda: SpectralSimilarity(2.0, 8, 10, 20, seed=1)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

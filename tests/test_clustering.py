@@ -9,11 +9,12 @@ from mosaica.operators.clique import CLIQUE, groups
 from mosaica.operators.components import components
 from mosaica.operators.dbscan import DBSCAN, neighbour_counts
 from mosaica.operators.external import External, counts, of
-from mosaica.operators.hierarchical import CURE, Birch, CFTree
+from mosaica.functions.distances import pairwise
+from mosaica.operators.hierarchical import CURE, Birch, Bunch, CFTree, agglomerate
 from mosaica.operators.internal import Internal
 from mosaica.operators.kmeans import BisectingKMeans, KMeans, MeanShift
 from mosaica.operators.metafeatures import NAMES, meta_features
-from mosaica.operators.spectral import SpectralAdjacency, SpectralSimilarity, largest
+from mosaica.operators.spectral import SpectralAdjacency, SpectralSimilarity, eigenvectors, similarity_times, sparse_times
 
 CENTRES = np.array([[-0.8, -0.8, 0.1], [0.8, -0.7, 0.0], [0.0, 0.9, -0.5]])
 
@@ -45,10 +46,59 @@ def test_finds_blobs(frame, algo):
         assert External.ADJUSTED_RAND.evaluate(out.like(out.df.where(F.col(LABEL) >= 0))) > 0.9
 
 
-@pytest.mark.parametrize("algo", [KMeans(3, 10, seed=3), MeanShift(0.2, 10, 10, 9, seed=3), DBSCAN(0.15, 4)], ids=lambda a: a.algo_name)
+@pytest.mark.parametrize(
+    "algo",
+    [KMeans(3, 10, seed=3), BisectingKMeans(3, 10, seed=3), MeanShift(0.2, 10, 10, 9, seed=3), Birch(3, 5, 0.02, 10, group_rows=20), DBSCAN(0.15, 4), CURE(3, 4, 0.3, group_rows=20), CURE(3, 2, 0.4, True, 10), CLIQUE(0.1, 2, 2), SpectralAdjacency(20, 6, 3, 50, seed=2), SpectralSimilarity(20.0, 3, 3, 50, seed=2)],
+    ids=lambda a: a.algo_name,
+)
 def test_partitioning_does_not_matter(spark, algo):
-    got = [{r[ID]: r[LABEL] for r in algo.fit_predict(make(spark, partitions=p)).df.collect()} for p in (1, 5)]
-    assert got[0] == got[1]
+    got = []
+    for p in (1, 5):
+        f = make(spark, 240, partitions=p, spread=0.2)
+        got.append({r[ID]: r[LABEL] for r in algo.fit_predict(f.like(f.df.drop(LABEL))).df.collect()})
+    assert got[0] == got[1] and len(got[0]) == 240
+
+
+def brute_agglomerate(x, k, most, shrink, ms):
+    """CURE's mergers by looking at all pairs of clusters each time, with all their points."""
+    c = [([v], [v], [v]) for v in x]  # rows, points, representatives
+    far = lambda p, q: float(pairwise(ms, np.array([p]), np.array([q]))[0, 0])
+    while len(c) > k:
+        d, i, j = min((min(far(p, q) for p in c[i][2] for q in c[j][2]), i, j) for i in range(len(c)) for j in range(i + 1, len(c)))
+        rows = c[i][0] + c[j][0]
+        mean = np.mean(rows, axis=0)
+        reps = rows
+        if len(rows) > most:
+            picked = [max(range(len(rows)), key=lambda r: (far(rows[r], mean), -r))]
+            while len(picked) < most:
+                gap = [min(far(v, rows[p]) for p in picked) for v in rows]
+                if max(gap) == 0:
+                    break
+                picked.append(int(np.argmax(gap)))
+            reps = [rows[p] for p in picked]
+        c[i] = (rows, rows, [r + shrink * (mean - r) for r in reps])
+        del c[j]
+    return c
+
+
+@pytest.mark.parametrize("most,shrink,k", [(3, 0.3, 4), (1, 0.5, 3), (50, 0.2, 2), (2, 0.8, 6)])
+def test_cure_matches_brute_force(most, shrink, k):
+    ms = (Modality("p", 2, "euclidean", 0.8, 2.4), Modality("q", 1, "manhattan", 0.2, 0.8))
+    x = np.random.default_rng(most).random((45, 3))
+    got = agglomerate([Bunch(v[None], v[None], v, 1) for v in x], k, most, shrink, ms)
+    want = brute_agglomerate(list(x), k, most, shrink, ms)
+    key = lambda rows: sorted(map(tuple, np.round(rows, 9)))
+    assert sorted(key(b.points) for b in got) == sorted(key(c[0]) for c in want)
+    assert sorted(key(b.reps) for b in got) == sorted(key(c[2]) for c in want)
+    assert sum(b.n for b in got) == 45
+
+
+def test_birch_keeps_all_rows_under_a_memory_bound(spark):
+    f = make(spark, 240, spread=0.2)
+    n, s = Birch(3, 5, 0.0, 10, group_rows=50).entries(f)
+    assert len(n) == 240  # with threshold 0 all rows are entries
+    few, t = Birch(3, 5, 0.0, 10, group_rows=50, memory=1024).entries(f)
+    assert few.sum() == 240 and np.allclose(t.sum(0), s.sum(0)) and len(few) <= 1024 // 32
 
 
 def test_clique(frame):
@@ -110,16 +160,48 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20, 23: 20, 24: 20}
 
 
-def test_eigenvectors_beyond_the_dense_limit(spark, monkeypatch):
+def residuals(a, w, v):
+    return np.linalg.norm(a @ v - v * w, axis=0).max()
+
+
+@pytest.mark.parametrize("n,k", [(1, 3), (5, 5), (40, 2), (40, 40), (300, 6)])
+def test_eigenvectors(n, k):
+    r = np.random.default_rng(n)
+    a = r.standard_normal((n, n))
+    a = a + a.T + np.diag(np.arange(n) * 0.3)
+    w, v = eigenvectors(lambda x: a @ x, n, k)
+    want = np.linalg.eigvalsh(a)
+    want = want[np.argsort(-np.abs(want))][:k]
+    assert np.allclose(w, want, atol=1e-7) and residuals(a, w, v) < 1e-7 and np.allclose(v.T @ v, np.eye(min(n, k)), atol=1e-9)
+
+
+@pytest.mark.parametrize("blocks,size", [(5, 10), (3, 200)])
+def test_repeated_eigenvalues(blocks, size):
+    a = np.kron(np.eye(blocks), np.ones((size, size)))
+    w, v = eigenvectors(lambda x: a @ x, len(a), blocks)
+    assert np.allclose(w, size) and residuals(a, w, v) < 1e-8
+    spans = np.kron(np.eye(blocks), np.ones((size, 1))) / np.sqrt(size)
+    assert np.allclose(np.linalg.svd(spans.T @ v)[1], 1)  # the vectors span the blocks
+    assert np.allclose(eigenvectors(lambda x: 0 * x, 30, 4)[0], 0)
+
+
+def test_products_of_graphs(spark, monkeypatch):
     from mosaica.operators import spectral
 
-    r = np.random.default_rng(0)
-    a = r.standard_normal((40, 40))
-    a = a + a.T + np.diag(np.arange(40) * 3.0)
-    e = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(40) for j in range(40)], "i long, j long, v double")
-    dense = largest(e, 40, 2)
-    monkeypatch.setattr(spectral, "DENSE", 10)
-    assert np.allclose(np.abs(largest(e, 40, 2)), np.abs(dense), atol=1e-3)
+    monkeypatch.setattr(spectral, "GRAPH_ROWS", 7)
+    r = np.random.default_rng(3)
+    ids = np.sort(r.choice(1000, 40, replace=False)).astype(np.int64)
+    i, j, v = r.integers(0, 40, 200), r.integers(0, 40, 200), r.standard_normal(200)
+    a = np.zeros((40, 40))
+    np.add.at(a, (i, j), v)
+    e = spark.createDataFrame([(int(ids[p]), int(ids[q]), float(x)) for p, q, x in zip(i, j, v)], f"{ID} long, neighbour long, v double")
+    x = r.standard_normal((40, 3))
+    assert np.allclose(sparse_times(e, ids)(x), a @ x)
+    f = make(spark, 40)
+    rows = f.df.orderBy(ID).collect()
+    p = np.array([q.p for q in rows])
+    got = similarity_times(f.df, f.modalities[0], 3.0, np.arange(40))(x)
+    assert np.allclose(got, np.exp(-3.0 * pairwise([f.modalities[0]], p, p) ** 2) @ x)
 
 
 def test_measure_invariants(frame):
