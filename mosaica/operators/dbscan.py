@@ -1,10 +1,9 @@
 """DBSCAN by a range join of tiles.
 
-Rows are packed into tiles by their distance from the origin, in bands as wide as epsilon. By the triangle inequality
-rows within epsilon of each other lie in the same band or in neighbouring ones, so tiles are joined on the band; with
-cosine, which is no metric, all pairs of tiles are compared. A row is a core if at least ``min_points`` rows, itself
-included, lie within epsilon; clusters are the connected components of cores within epsilon of each other. Pairs of
-tiles send spanning forests, not all their edges.
+Rows are packed into tiles by the box they are in (:mod:`mosaica.operators.boxes`); rows within epsilon of each other lie in boxes between
+which no dimension rules that out, so tiles are joined on those pairs of boxes. A row is a core if at least ``min_points`` rows,
+itself included, lie within epsilon; clusters are the connected components of cores within epsilon of each other. Pairs of tiles
+send spanning forests, not all their edges.
 """
 
 from __future__ import annotations
@@ -19,62 +18,60 @@ from pyspark.sql import functions as F
 from ..functions.distances import blocks, pairwise
 from ..functions.tiles import ROWS, Tile
 from ..modality import ID, LABEL, NOISE, MultiFrame
-from ..session import cut
+from ..session import cut, numbered
 from .base import Algorithm, LabelledModel, check, check_clusters
+from .boxes import Boxes, boxes_of
 from .components import components
 
-SCHEMA = "tile long, band long, n int, ids binary, labels binary, x binary"
+SCHEMA = "tile long, box long, n int, ids binary, labels binary, x binary"
 
 
-def banded(df: DataFrame, modalities, epsilon: float, label: str | None = None) -> DataFrame:
-    """Tiles of rows of one band each."""
-    dim = sum(m.dim for m in modalities)
-    flat = any(m.metric == "cosine" for m in modalities)
+def boxed(df: DataFrame, boxes: Boxes, label: str | None = None) -> DataFrame:
+    """Tiles of rows of one box each."""
+    modalities = boxes.ms
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = blocks(b, modalities)
-            k = np.zeros(len(x), np.int64) if flat else np.floor(pairwise(modalities, x, np.zeros((1, dim)))[:, 0] / epsilon).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(ID), b.column("__l"), pa.array(k), pa.array([v.tobytes() for v in x], pa.binary())], names=[ID, "l", "band", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(ID), b.column("__l"), pa.array(boxes.of(x)), pa.array([v.tobytes() for v in x], pa.binary())], names=[ID, "l", "box", "x"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tile = TaskContext.get().partitionId() << 32
         for b in batches:
-            k = b.column("band").to_numpy()
+            k = b.column("box").to_numpy()
             edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
             for s, e in zip(edges[:-1], edges[1:]):
                 for t in range(s, e, ROWS):
                     part = b.slice(t, min(ROWS, e - t))
                     tile += 1
                     cols = [[tile], [int(k[t])], [part.num_rows], [part.column(ID).to_numpy().tobytes()], [part.column("l").to_numpy().tobytes()], [b"".join(part.column("x").to_pylist())]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["tile", "band", "n", "ids", "labels", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["tile", "box", "n", "ids", "labels", "x"])
 
     slim = df.select(F.col(ID).cast("long").alias(ID), (F.col(label).cast("long") if label else F.lit(0).cast("long")).alias("__l"), *(m.name for m in modalities))
-    rows = slim.mapInArrow(band, f"{ID} long, l long, band long, x binary")
-    return cut(rows.repartition("band", F.pmod(F.xxhash64(ID), F.lit(64))).sortWithinPartitions("band", ID).mapInArrow(pack, SCHEMA), "bands")
+    rows = slim.mapInArrow(place, f"{ID} long, l long, box long, x binary")
+    return cut(rows.repartition("box", F.pmod(F.xxhash64(ID), F.lit(64))).sortWithinPartitions("box", ID).mapInArrow(pack, SCHEMA), "boxes")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, modalities, f, schema: str, once: bool = False) -> DataFrame:
-    """``f`` over the pairs of tiles of neighbouring bands."""
-    dim = sum(m.dim for m in modalities)
+def near_pairs(left: DataFrame, right: DataFrame, boxes: Boxes, f, schema: str, once: bool = False) -> DataFrame:
+    """``f`` over the pairs of tiles of boxes near each other."""
+    dim = sum(m.dim for m in boxes.ms)
     other = right.select(*(F.col(c).alias(f"{c}_2") for c in right.columns))
-    reach = left.withColumn("at", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))))
-    pairs = reach.join(other, F.col("at") == F.col("band_2"))
+    pairs = left.join(boxes.pairs(left.sparkSession), "box").join(other, "box_2")
     if once:
         pairs = pairs.where("tile = tile_2 or ((tile < tile_2) = (abs(tile - tile_2) % 2 = 1))")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f((Tile(r, "", dim), Tile(r, "_2", dim)) for b in batches for r in b.to_pylist())
 
-    return pairs.drop("at").mapInArrow(run, schema)
+    return pairs.mapInArrow(run, schema)
 
 
-def neighbour_counts(frame: MultiFrame, epsilon: float, tiles: DataFrame | None = None) -> DataFrame:
+def neighbour_counts(frame: MultiFrame, epsilon: float, boxes: Boxes | None = None) -> DataFrame:
     """``(_id, neighbours)``: rows within epsilon of each row, itself included."""
-    ms = frame.modalities
-    t = banded(frame.df, ms, epsilon) if tiles is None else tiles
+    ms, boxes = frame.modalities, boxes_of(frame, epsilon) if boxes is None else boxes
+    t = boxed(frame.df, boxes)
 
     def run(pairs) -> Iterator[pa.RecordBatch]:
         for a, b in pairs:
@@ -83,7 +80,7 @@ def neighbour_counts(frame: MultiFrame, epsilon: float, tiles: DataFrame | None
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(a.ids[hit]), pa.array(n[hit])], names=["id", "n"])
 
-    return near_pairs(t, t, ms, run, "id long, n long").groupBy(F.col("id").alias(ID)).agg(F.sum("n").alias("neighbours"))
+    return near_pairs(t, t, boxes, run, "id long, n long").groupBy(F.col("id").alias(ID)).agg(F.sum("n").alias("neighbours"))
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -102,9 +99,9 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 class DBSCANModel(LabelledModel):
     """The labelled frame; new rows are labelled by their neighbours in it."""
 
-    def __init__(self, frame: MultiFrame, epsilon: float, min_points: int, border_noise: bool):
+    def __init__(self, frame: MultiFrame, boxes: Boxes, min_points: int, border_noise: bool):
         super().__init__(frame)
-        self.epsilon, self.min_points, self.border_noise = epsilon, min_points, border_noise
+        self.boxes, self.epsilon, self.min_points, self.border_noise = boxes, boxes.epsilon, min_points, border_noise
 
     @property
     def dataframe(self) -> MultiFrame:
@@ -113,7 +110,7 @@ class DBSCANModel(LabelledModel):
     def predict(self, frame: MultiFrame) -> MultiFrame:
         """The majority cluster among a row's clustered neighbours if it has ``min_points - 1`` of them (or borders count); else noise."""
         ms, eps = self.modalities, self.epsilon
-        new, old = banded(frame.df, ms, eps), banded(self.frame.df.where(F.col(LABEL) != NOISE), ms, eps, LABEL)
+        new, old = boxed(frame.df, self.boxes), boxed(self.frame.df.where(F.col(LABEL) != NOISE), self.boxes, LABEL)
 
         def run(pairs) -> Iterator[pa.RecordBatch]:
             for a, b in pairs:
@@ -122,7 +119,7 @@ class DBSCANModel(LabelledModel):
                     both, n = np.unique(np.stack([i, b.labels[j]]), axis=1, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a.ids[both[0]]), pa.array(both[1]), pa.array(n)], names=["id", "l", "n"])
 
-        votes = near_pairs(new, old, ms, run, "id long, l long, n long").groupBy("id", "l").agg(F.sum("n").alias("n"))
+        votes = near_pairs(new, old, self.boxes, run, "id long, l long, n long").groupBy("id", "l").agg(F.sum("n").alias("n"))
         won = votes.groupBy("id").agg(F.sum("n").alias("all"), F.max_by("l", F.struct("n", -F.col("l"))).alias("l"))
         label = F.when((F.col("all") >= self.min_points - 1) | F.lit(not self.border_noise), F.col("l")).otherwise(NOISE)
         out = frame.df.join(won, F.col(ID) == F.col("id"), "left").withColumn(LABEL, F.coalesce(label, F.lit(NOISE)).cast("int"))
@@ -131,21 +128,25 @@ class DBSCANModel(LabelledModel):
 
 class DBSCAN(Algorithm):
     """``border_noise``: whether rows near a core that are none themselves are noise; else they go to the cluster of
-    the nearest core (of equal ones the least ``_id``). ``points_in_box``, ``levels`` and ``axis_splits`` are accepted for
-    their search space; bands take the place of boxes.
+    the nearest core (of equal ones the least ``_id``). ``points_in_box``, ``levels`` and ``axis_splits`` say how boxes are split; the
+    clusters don't depend on them.
     """
 
     def __init__(self, epsilon: float, min_points: int, border_noise: bool = True, max_clusters: int | None = None, points_in_box: int | None = None, levels: int | None = None, axis_splits: int = 2):
-        check(epsilon=epsilon > 0, min_points=min_points >= 1, max_clusters=max_clusters is None or max_clusters >= 2, axis_splits=axis_splits >= 2)
+        check(epsilon=epsilon > 0, min_points=min_points >= 1, points_in_box=points_in_box is None or points_in_box >= 1, levels=levels is None or levels >= 0, max_clusters=max_clusters is None or max_clusters >= 2, axis_splits=axis_splits >= 2)
         super().__init__(epsilon=epsilon, min_points=min_points, border_noise=border_noise, max_clusters=max_clusters, points_in_box=points_in_box, levels=levels, axis_splits=axis_splits)
 
-    def labels(self, frame: MultiFrame) -> DataFrame:
+    def boxes(self, frame: MultiFrame) -> Boxes:
+        p = self.params
+        return boxes_of(frame, p["epsilon"], p["points_in_box"], p["levels"], p["axis_splits"])
+
+    def labels(self, frame: MultiFrame, boxes: Boxes | None = None) -> DataFrame:
         """``(_id, _label, core)``; clusters are numbered by their least core. However many there are, also one or none."""
         p, ms, eps = self.params, frame.modalities, self.params["epsilon"]
-        t = banded(frame.df, ms, eps)
-        counts = cut(neighbour_counts(frame, eps, t), "neighbours")
+        boxes = boxes if boxes is not None else self.boxes(frame)
+        counts = cut(neighbour_counts(frame, eps, boxes), "neighbours")
         core = counts.where(F.col("neighbours") >= p["min_points"]).select(ID)
-        cores = banded(frame.df.join(core, ID, "left_semi"), ms, eps)
+        cores = boxed(frame.df.join(core, ID, "left_semi"), boxes)
 
         def edges(pairs) -> Iterator[pa.RecordBatch]:
             for a, b in pairs:
@@ -162,16 +163,15 @@ class DBSCAN(Algorithm):
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[order][moved]), pa.array(ids[order][lab[moved]])], names=["u", "v"])
 
-        comp = components(near_pairs(cores, cores, ms, edges, "u long, v long", once=True))
+        comp = components(near_pairs(cores, cores, boxes, edges, "u long, v long", once=True))
         rooted = core.join(comp, F.col(ID) == F.col("node"), "left").select(ID, F.coalesce("root", ID).alias("root"))
-        roots = rooted.select("root").distinct().orderBy("root").collect()
-        number = frame.df.sparkSession.createDataFrame([(r.root, i) for i, r in enumerate(roots)], "root long, __k int")
-        labelled = cut(rooted.join(number, "root").select(ID, F.col("__k").alias(LABEL)), "cores")
+        number = numbered(rooted.select("root").distinct(), "root", "__k")
+        labelled = cut(rooted.join(number, "root").select(ID, F.col("__k").cast("int").alias(LABEL)), "cores")
         out = counts.select(ID).join(labelled.withColumn("core", F.lit(True)), ID, "left")
         if p["border_noise"]:
             near = None
         else:
-            rest = banded(frame.df.join(core, ID, "left_anti"), ms, eps)
+            rest = boxed(frame.df.join(core, ID, "left_anti"), boxes)
 
             def nearest(pairs) -> Iterator[pa.RecordBatch]:
                 for a, b in pairs:
@@ -182,14 +182,14 @@ class DBSCAN(Algorithm):
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(a.ids[hit]), pa.array(b.ids[j[hit]]), pa.array(m[hit])], names=["id", "of", "d"])
 
-            best = near_pairs(rest, cores, ms, nearest, "id long, of long, d double").groupBy("id").agg(F.min_by("of", F.struct("d", "of")).alias("of"))
+            best = near_pairs(rest, cores, boxes, nearest, "id long, of long, d double").groupBy("id").agg(F.min_by("of", F.struct("d", "of")).alias("of"))
             near = best.join(labelled, F.col("of") == F.col(ID)).select(F.col("id").alias("__b"), F.col(LABEL).alias("__bl"))
         if near is not None:
             out = out.join(near, F.col(ID) == F.col("__b"), "left").withColumn(LABEL, F.coalesce(LABEL, "__bl"))
         return out.select(ID, F.coalesce(LABEL, F.lit(NOISE)).cast("int").alias(LABEL), F.coalesce("core", F.lit(False)).alias("core"))
 
     def fit(self, frame: MultiFrame) -> DBSCANModel:
-        p = self.params
-        labels = cut(self.labels(frame).drop("core"), "labels")
+        p, boxes = self.params, self.boxes(frame)
+        labels = cut(self.labels(frame, boxes).drop("core"), "labels")
         check_clusters(labels.where(F.col(LABEL) != NOISE).select(LABEL).distinct().count(), p["max_clusters"])
-        return DBSCANModel(frame.like(frame.df.join(labels, ID)), p["epsilon"], p["min_points"], p["border_noise"])
+        return DBSCANModel(frame.like(frame.df.join(labels, ID)), boxes, p["min_points"], p["border_noise"])

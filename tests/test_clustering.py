@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaica.modality import CLASS, ID, LABEL, Modality, MultiFrame
+from mosaica.operators.boxes import boxes_of
 from mosaica.operators.clique import CLIQUE, groups
 from mosaica.operators.components import components
 from mosaica.operators.dbscan import DBSCAN, neighbour_counts
@@ -144,6 +145,32 @@ def test_dbscan_edges(spark):
     assert {r[ID]: r[LABEL] for r in loose.predict(new).df.collect()} == {0: 0, 1: 1, 2: -1}
 
 
+@pytest.mark.parametrize("metrics", [("euclidean", "manhattan"), ("chebyshev", "cosine"), ("canberra", "euclidean")])
+def test_boxes_rule_out_nothing_near(spark, metrics):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.random((300, 3)) ** 3, np.full((60, 3), 0.5)])
+    ms = (Modality("p", 2, metrics[0], 0.7, 1.3), Modality("q", 1, metrics[1], 0.3, 0.9))
+    df = spark.createDataFrame([(i, v[:2].tolist(), v[2:].tolist()) for i, v in enumerate(x)], f"{ID} long, p array<double>, q array<double>")
+    f = MultiFrame(df, ms, len(x))
+    d = pairwise(ms, x, x)
+    for eps, splits in ((0.03, 2), (0.1, 3)):
+        boxes = boxes_of(f, eps, points_in_box=20, levels=6, axis_splits=splits)
+        at, near = boxes.of(x), {tuple(p) for p in boxes.near().tolist()}
+        assert all((at[i], at[j]) in near for i, j in zip(*np.nonzero(d <= eps)))
+        assert ((x > boxes.lo[at]) | (x == boxes.lo[at])).all() and (x <= boxes.hi[at]).all()
+        assert metrics[0] == "canberra" or (len(boxes) > 4 and len(near) < len(boxes) ** 2)
+        want = {i: int(n) for i, n in enumerate((d <= eps).sum(1))}
+        assert {q[ID]: q.neighbours for q in neighbour_counts(f, eps, boxes).collect()} == want
+    far = boxes.of(np.array([[99.0, -99.0, 3.0]]))  # rows beyond all others are in an outer box
+    assert 0 <= far[0] < len(boxes)
+
+
+def test_dbscan_does_not_depend_on_boxes(spark):
+    f = make(spark, 200, spread=0.12)
+    got = [{r[ID]: r[LABEL] for r in DBSCAN(0.08, 4, b, points_in_box=p, levels=n, axis_splits=s).labels(f).collect()} for b in (True, False) for p, n, s in ((None, 0, 2), (5, 9, 2), (30, 3, 4))]
+    assert got[0] == got[1] == got[2] and got[3] == got[4] == got[5] and len(set(got[0].values())) > 2
+
+
 def test_cf_tree():
     m = (Modality("p", 2),)
     t = CFTree(m, 4, 0.1, most=30)
