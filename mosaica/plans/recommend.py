@@ -1,12 +1,18 @@
 """Which internal measure to optimise, from a data set's meta-features.
 
-The recommender is a random forest of Spark ML over the nineteen meta-features. A training table has those and the name
-of the measure whose optimum agreed best with known classes; :func:`train` fits the forest and cross-validates its
-size. Without a trained one, :func:`recommend` uses a rule: which share of the pairs is far from the mean distance.
+The recommender is a random forest over the nineteen meta-features. The one in ``recommender.json`` was fitted by
+:mod:`mosaica.plans.train_recommender` to generated data sets of known classes, on each of which the best measure is that whose
+optimum agrees best with the classes. :func:`train` fits another one to any table of meta-features and names of measures,
+and cross-validates its size.
 """
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+from pathlib import Path
+
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -18,6 +24,7 @@ from ..modality import MultiFrame
 from ..operators.internal import Internal
 from ..operators.metafeatures import NAMES, meta_features
 
+FILE = str(Path(__file__).with_name("recommender.json"))
 MEASURES = (Internal.CALINSKI_HARABASZ, Internal.SILHOUETTE_APPROX, Internal.SF, Internal.GD41_APPROX)
 
 
@@ -31,15 +38,37 @@ def train(table: DataFrame, label: str = "measure", folds: int = 4, seed: int =
     return Pipeline(stages=stages).fit(table)
 
 
+class Forest:
+    """Trees of ``[feature, threshold, left, right]`` nodes and leaves of shares; the label with most of them wins, of equal ones the first."""
+
+    def __init__(self, labels: list[str], trees: list[list]):
+        self.labels, self.trees = labels, trees
+
+    def shares(self, features: list[float]) -> np.ndarray:
+        total = np.zeros(len(self.labels))
+        for nodes in self.trees:
+            at = nodes[0]
+            while len(at) == 4 and isinstance(at[0], int):
+                at = nodes[at[2] if features[at[0]] <= at[1] else at[3]]
+            total += at
+        return total / len(self.trees)
+
+    def predict(self, features: list[float]) -> str:
+        return self.labels[int(self.shares(features).argmax())]
+
+
+@lru_cache(1)
+def forest() -> Forest:
+    """The forest that comes with the package."""
+    about = json.loads(Path(FILE).read_text())
+    return Forest(about["measures"], about["trees"])
+
+
 def recommend(frame: MultiFrame, model: PipelineModel | None = None) -> Internal:
+    """The measure for a frame, by the package's forest or a pipeline of :func:`train`."""
     f = meta_features(frame)
-    if model is not None:
-        row = frame.df.sparkSession.createDataFrame([tuple(map(float, f))], NAMES)
-        stages = [s for s in model.stages if not type(s).__name__.startswith("StringIndexer")]
-        return Internal[PipelineModel(stages).transform(row).first().recommended]
-    skew, kurtosis, tails = f[3], f[4], f[17] + f[18]
-    if tails > 0.06:
-        return Internal.GD41_APPROX
-    if kurtosis < -0.5:
-        return Internal.CALINSKI_HARABASZ
-    return Internal.SF if skew > 0.3 else Internal.SILHOUETTE_APPROX
+    if model is None:
+        return Internal[forest().predict(f)]
+    row = frame.df.sparkSession.createDataFrame([tuple(map(float, f))], NAMES)
+    stages = [s for s in model.stages if not type(s).__name__.startswith("StringIndexer")]
+    return Internal[PipelineModel(stages).transform(row).first().recommended]
