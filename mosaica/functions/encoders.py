@@ -1,8 +1,9 @@
 """Encoders of texts and images as vectors.
 
-An encoder is any picklable object with ``dim`` and ``encode(values) -> (n, dim)``; it is sent to the executors once and
-its ``load`` runs once per Python worker. :class:`HashingEncoder` needs nothing but NumPy. Models of the usual deep
-learning libraries are wrapped by :func:`deep_text` where those are installed; :data:`ZOO` lists well-known checkpoints.
+An encoder is any picklable object with ``dim`` and ``encode(values) -> (n, dim)``; it is broadcast, and its ``load`` is called
+at the beginning of each task, to get ready whatever it hasn't yet. :class:`HashingEncoder` needs nothing but NumPy. Models of the
+usual deep learning libraries are wrapped by :func:`deep_text` and :func:`deep_image` where those are installed; :data:`ZOO` lists
+well-known checkpoints.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -89,14 +90,16 @@ class FileEncoder:
 
 
 def encode_column(encoder: Encoder, column: str | Column, batch_size: int = 32) -> Column:
-    """The column's ``array<float>`` embedding, in mini-batches."""
+    """The column's ``array<float>`` embedding, in mini-batches. The encoder is broadcast, so that a worker has one for all its tasks."""
+    sent = SparkSession.active().sparkContext.broadcast(encoder)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder.load()
+        own = sent.value
+        own.load()
         for b in batches:
             values = b.tolist()
-            parts = [np.asarray(encoder.encode(values[s : s + batch_size]), np.float32) for s in range(0, len(values), batch_size)]
+            parts = [np.asarray(own.encode(values[s : s + batch_size]), np.float32) for s in range(0, len(values), batch_size)]
             yield pd.Series([v for p in parts for v in p])
 
     return run(column).cast("array<double>")
@@ -104,41 +107,165 @@ def encode_column(encoder: Encoder, column: str | Column, batch_size: int = 32)
 
 @dataclass(frozen=True)
 class Checkpoint:
-    """A public model: its name in the usual hub, what it takes, and its width."""
+    """A public model: its name in the usual hub, what it takes, its usual width, and the libraries that have its weights.
+
+    The width only says what to expect: a prepared modality's is taken from its vectors.
+    """
 
     name: str
     kind: str
     dim: int
-
-
-ZOO = {
-    c.name: c
-    for c in [
-        *(Checkpoint(n, "text", d) for n, d in [("bert-base-uncased", 768), ("bert-base-cased", 768), ("bert-large-uncased", 1024), ("bert-base-multilingual-cased", 768), ("distilbert-base-uncased", 768), ("distilbert-base-multilingual-cased", 768), ("roberta-base", 768), ("roberta-large", 1024), ("xlm-roberta-base", 768), ("albert-base-v2", 768), ("albert-large-v2", 1024), ("google/electra-small-discriminator", 256), ("google/electra-base-discriminator", 768), ("microsoft/deberta-base", 768), ("sentence-transformers/all-MiniLM-L6-v2", 384), ("sentence-transformers/all-mpnet-base-v2", 768), ("gpt2", 768), ("xlnet-base-cased", 768)]),
-        *(Checkpoint(n, "image", d) for n, d in [("google/vit-base-patch16-224", 768), ("google/vit-large-patch16-224", 1024), ("facebook/deit-base-patch16-224", 768), ("microsoft/resnet-50", 2048), ("facebook/convnext-base-224", 1024), ("microsoft/swin-base-patch4-window7-224", 1024)]),
-    ]
+    libraries: tuple[str, ...]
+
+
+_BOTH, _TORCH, _TF = ("torch", "tensorflow"), ("torch",), ("tensorflow",)
+_TEXTS = {
+    (_BOTH, 256): "google/electra-small-discriminator google/electra-small-generator",
+    (_BOTH, 320): "facebook/esm2_t6_8M_UR50D",
+    (_BOTH, 512): "lordtt13/emo-mobilebert facebook/blenderbot_small-90M",
+    (_BOTH, 768): "roberta-base openai-gpt microsoft/mpnet-base microsoft/deberta-base distilgpt2 distilbert-base-uncased cardiffnlp/twitter-roberta-base-emotion bert-base-cased allenai/led-base-16384 albert-base-v2 xlnet-base-cased",
+    (_BOTH, 1024): "facebook/xglm-564M facebook/mbart-large-cc25 andreasmadsen/efficient_mlm_m0.40",
+    (_BOTH, 1152): "google/rembert",
+    (_BOTH, 1280): "ctrl",
+    (_BOTH, 1472): "google/byt5-small",
+    (_BOTH, 1536): "microsoft/deberta-v2-xlarge",
+    (_BOTH, 2048): "xlm-mlm-en-2048",
+    (_TORCH, 512): "ArthurZ/opt-350m-dummy-sc",
+    (_TORCH, 768): "uw-madison/yoso-4096 uw-madison/nystromformer-512 squeezebert/squeezebert-uncased nghuyong/ernie-2.0-base-en l-yohai/bigbird-roberta-base-mnli kssteven/ibert-roberta-base jpwahle/longformer-base-plagiarism-detection google/switch-base-8 google/canine-s google/canine-c facebook/xmod-base facebook/xlm-v-base ArthurZ/dummy-rocbert-seq",
+    (_TORCH, 1024): "valhalla/bart-large-sst2 sberbank-ai/sbert_large_nlu_ru microsoft/DialogRPT-updown bigscience/bloom-560m RUCAIBox/mvp",
+    (_TORCH, 2048): "EleutherAI/gpt-neo-1.3B",
+    (_TF, 512): "t5-small google/flan-t5-small",
+    (_TF, 768): "google/t5-v1_1-base",
+    (_TF, 1024): "transfo-xl-wt103",
+    # beyond those: other sizes, languages and sentence models
+    (_TORCH, 384): "sentence-transformers/all-MiniLM-L6-v2",
+    (_BOTH, 768, "more"): "xlm-roberta-base sentence-transformers/all-mpnet-base-v2 gpt2 google/electra-base-discriminator distilbert-base-multilingual-cased bert-base-uncased bert-base-multilingual-cased",
+    (_BOTH, 1024, "more"): "roberta-large bert-large-uncased albert-large-v2",
+}
+_IMAGES = {
+    (_BOTH, 640): "apple/mobilevit-small",
+    (_BOTH, 768): "microsoft/swin-tiny-patch4-window7-224 google/vit-base-patch16-224-in21k facebook/deit-base-distilled-patch16-224 facebook/convnext-tiny-224",
+    (_BOTH, 1088): "facebook/regnet-y-040",
+    (_TORCH, 384): "facebook/levit-128S",
+    (_TORCH, 512): "Visual-Attention-Network/van-base",
+    (_TORCH, 768): "microsoft/swinv2-tiny-patch4-window8-256 microsoft/beit-base-patch16-224-pt22k facebook/convnextv2-tiny-1k-224",
+    (_TORCH, 1024): "google/mobilenet_v1_1.0_224",
+    (_TORCH, 1280): "google/mobilenet_v2_1.0_224",
+    (_TORCH, 2048): "google/bit-50",
+    (_TORCH, 2560): "google/efficientnet-b7",
+    (_BOTH, 768, "more"): "google/vit-base-patch16-224 facebook/deit-base-patch16-224",
+    (_BOTH, 1024, "more"): "microsoft/swin-base-patch4-window7-224 google/vit-large-patch16-224 facebook/convnext-base-224",
+    (_BOTH, 2048, "more"): "microsoft/resnet-50",
 }
+ZOO = {n: Checkpoint(n, kind, key[1], key[0]) for kind, table in (("text", _TEXTS), ("image", _IMAGES)) for key, names in table.items() for n in names.split()}
 
 
 @dataclass
 class TransformerText:
-    """Mean of a text model's last layer over the attention mask; needs ``torch`` and ``transformers`` on the executors."""
+    """Mean of a text model's last layer over all tokens of a text; needs the models' library and ``torch`` or ``tensorflow`` on the executors.
+
+    A text longer than the model takes is cut into windows that it takes, whose tokens all count alike: none is dropped.
+    """
 
     checkpoint: str
     dim: int
+    library: str = "torch"
+    #: Windows in one call of the model, and tokens of one where the model has no bound of its own.
+    at_once: int = 32
+    longest: int = 4096
 
     def load(self) -> None:
-        import torch
-        from transformers import AutoModel, AutoTokenizer
+        if not hasattr(self, "_model"):
+            import transformers
 
-        self._torch, self._tokens, self._model = torch, AutoTokenizer.from_pretrained(self.checkpoint), AutoModel.from_pretrained(self.checkpoint).eval()
+            self._tokens = transformers.AutoTokenizer.from_pretrained(self.checkpoint)
+            if self._tokens.pad_token is None:
+                self._tokens.pad_token = self._tokens.eos_token
+            auto = transformers.AutoModel if self.library == "torch" else transformers.TFAutoModel
+            self._model = auto.from_pretrained(self.checkpoint)
+            _freeze(self._model, self.library)
 
     def encode(self, values: list) -> np.ndarray:
-        with self._torch.no_grad():
-            t = self._tokens(values, padding=True, truncation=True, return_tensors="pt")
-            h, m = self._model(**t).last_hidden_state, t["attention_mask"].unsqueeze(-1)
-            return ((h * m).sum(1) / m.sum(1).clamp(min=1)).numpy()
+        t, windows, of = self._tokens, [], []
+        room = max(1, min(t.model_max_length, self.longest) - t.num_special_tokens_to_add())
+        for k, v in enumerate(values):
+            ids = t.encode(v or "", add_special_tokens=False)
+            for s in range(0, max(1, len(ids)), room):
+                windows.append(t.build_inputs_with_special_tokens(ids[s : s + room]))
+                of.append(k)
+        total, n = np.zeros((len(values), self.dim)), np.zeros(len(values))
+        for s in range(0, len(windows), self.at_once):
+            x = t.pad({"input_ids": windows[s : s + self.at_once]}, return_tensors="pt" if self.library == "torch" else "tf")
+            h = np.asarray(_calm(self._model, self.library, x).last_hidden_state)
+            m = np.asarray(x["attention_mask"])[:, :, None]
+            if total.shape[1] != h.shape[2]:
+                total = np.zeros((len(values), h.shape[2]))
+            np.add.at(total, of[s : s + self.at_once], (h * m).sum(1))
+            np.add.at(n, of[s : s + self.at_once], m.sum((1, 2)))
+        return total / np.maximum(n, 1)[:, None]
+
+
+@dataclass
+class TransformerImage:
+    """A vision model's pooled output (or the mean of its last layer) of pictures given as bytes; null or empty bytes are the zero vector."""
+
+    checkpoint: str
+    dim: int
+    library: str = "torch"
+
+    def load(self) -> None:
+        if not hasattr(self, "_model"):
+            import transformers
+
+            self._processor = transformers.AutoImageProcessor.from_pretrained(self.checkpoint)
+            auto = transformers.AutoModel if self.library == "torch" else transformers.TFAutoModel
+            self._model = auto.from_pretrained(self.checkpoint)
+            _freeze(self._model, self.library)
+
+    def encode(self, values: list) -> np.ndarray:
+        import io
+
+        from PIL import Image
+
+        some = [k for k, v in enumerate(values) if v]
+        if not some:
+            return np.zeros((len(values), self.dim))
+        x = self._processor(images=[Image.open(io.BytesIO(values[k])).convert("RGB") for k in some], return_tensors="pt" if self.library == "torch" else "tf")
+        got = _calm(self._model, self.library, x)
+        pooled = getattr(got, "pooler_output", None)
+        v = np.asarray(pooled if pooled is not None else got.last_hidden_state)
+        if pooled is None:
+            v = v.reshape(len(some), -1, v.shape[-1]).mean(1)
+        out = np.zeros((len(values), v.reshape(len(some), -1).shape[1]))
+        out[some] = v.reshape(len(some), -1)
+        return out
+
+
+def _freeze(model, library: str) -> None:
+    if library == "torch":
+        model.eval()
+
+
+def _calm(model, library: str, inputs):
+    """The model's output, without gradients."""
+    if library != "torch":
+        return model(**inputs)
+    import torch
+
+    with torch.no_grad():
+        return model(**inputs)
+
+
+def _from_zoo(name: str, kind: str, library: str) -> Checkpoint:
+    c = ZOO.get(name)
+    if c is None or c.kind != kind or library not in c.libraries:
+        raise ValueError(f"no {kind} model {name!r} for {library}")
+    return c
+
+
+def deep_text(name: str, library: str = "torch") -> TransformerText:
+    return TransformerText(name, _from_zoo(name, "text", library).dim, library)
 
 
-def deep_text(name: str) -> TransformerText:
-    return TransformerText(name, ZOO[name].dim)
+def deep_image(name: str, library: str = "torch") -> TransformerImage:
+    return TransformerImage(name, _from_zoo(name, "image", library).dim, library)

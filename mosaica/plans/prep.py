@@ -29,6 +29,7 @@ from ..functions.encoders import Encoder, encode_column
 from ..functions.norms import with_norms
 from ..modality import CLASS, ID, METRICS, Modality, MultiFrame
 from ..session import cut
+from .report import Level, timed, warn
 
 _NAME = re.compile(r"[a-z]\w*", re.ASCII)
 NOT_GIVEN = "N/A"
@@ -236,6 +237,8 @@ class DeepStage:
             self.dim = self.keep
             self.second = Ranges.fit(df, self.name, self.dim)
             df = self.second.apply(df)
+            if share < EXPLAINED:
+                warn(f"{self.name}: {self.keep} components explain only {share:.3f} of the variance", shares=self.pca.explainedVariance.toArray().round(4).tolist())
         self.w_dim = self.dim
         return df
 
@@ -328,6 +331,10 @@ class Builder:
     def create(self) -> Prepared:
         if not self.stages:
             raise ValueError("no modalities")
+        with timed("preparation"):
+            return self._created()
+
+    def _created(self) -> Prepared:
         columns = sorted(self.used) + [c for c in (self.class_col, ID) if c and c in self.kinds and c not in self.used]
         df = used_rows(self.df, columns)
         if self.class_col:
@@ -338,7 +345,9 @@ class Builder:
         ms = []
         for name in sorted(self.stages):
             s = self.stages[name]
-            df = s.fit(df)
+            with timed(f"stage {name}", Level.FULL, Level.INFO, kind=type(s).__name__) as found:
+                df = s.fit(df)
+                found["dim"] = s.dim
             ms.append(Modality(name, s.dim, self.metrics[name], w_dim=s.w_dim))
         df = cut(df.select(ID, *([CLASS] if self.class_col else []), *(m.name for m in ms)), "prepared")
         ms = with_norms(df, auto_weights(ms, self.weights))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from ..modality import MultiFrame
 from ..operators.internal import Internal
 from ..operators.metafeatures import NAMES, meta_features
+from .report import timed
 
 FILE = str(Path(__file__).with_name("recommender.json"))
 MEASURES = (Internal.CALINSKI_HARABASZ, Internal.SILHOUETTE_APPROX, Internal.SF, Internal.GD41_APPROX)
@@ -66,9 +67,14 @@ def forest() -> Forest:
 
 def recommend(frame: MultiFrame, model: PipelineModel | None = None) -> Internal:
     """The measure for a frame, by the package's forest or a pipeline of :func:`train`."""
-    f = meta_features(frame)
-    if model is None:
-        return Internal[forest().predict(f)]
-    row = frame.df.sparkSession.createDataFrame([tuple(map(float, f))], NAMES)
-    stages = [s for s in model.stages if not type(s).__name__.startswith("StringIndexer")]
-    return Internal[PipelineModel(stages).transform(row).first().recommended]
+    with timed("recommendation of a measure") as found:
+        f = meta_features(frame)
+        found["meta_features"] = dict(zip(NAMES, f))
+        if model is None:
+            name = forest().predict(f)
+        else:
+            row = frame.df.sparkSession.createDataFrame([tuple(map(float, f))], NAMES)
+            stages = [s for s in model.stages if not type(s).__name__.startswith("StringIndexer")]
+            name = PipelineModel(stages).transform(row).first().recommended
+        found["result"] = name
+    return Internal[name]

@@ -7,7 +7,6 @@ of the next step from the best values so far and the time the arms took. All ran
 from __future__ import annotations
 
 import json
-import logging
 import math
 import random
 import time
@@ -28,8 +27,8 @@ from ..operators.hierarchical import CURE, Birch
 from ..operators.internal import Internal
 from ..operators.kmeans import BisectingKMeans, KMeans, MeanShift
 from ..operators.spectral import SpectralAdjacency, SpectralSimilarity
+from .report import Level, timed
 
-log = logging.getLogger("mosaica")
 #: What an optimiser is told when a configuration fails.
 FAILED = float(0xBADBADBADBAD)
 
@@ -151,13 +150,15 @@ class HyperOpt:
         params = self.propose()
         began, fitted, value = time.time(), None, math.inf
         try:
-            algo = self.conf.build(params)
-            model, labelled = algo.fit_predict_with_model(self.frame)
+            with timed(self.conf.algo_name, params=params):
+                algo = self.conf.build(params)
+                model, labelled = algo.fit_predict_with_model(self.frame)
             fitted = time.time()
-            value = self.measure.evaluate(labelled, minimise=True)
+            with timed(f"evaluation by {self.measure.name}") as found:
+                value = found["result"] = self.measure.evaluate(labelled, minimise=True)
             value = value if math.isfinite(value) else math.inf
-        except (ValueError, RuntimeError, ArithmeticError, PySparkException) as e:  # a configuration that can't work is no reason to stop
-            log.info("%s%s failed: %s", self.conf.algo_name, params, str(e).split("\n")[0])
+        except (ValueError, RuntimeError, ArithmeticError, PySparkException):  # a configuration that can't work is no reason to stop
+            pass
         ended = time.time()
         run = HistoryRun(value, (fitted or ended) - began, ended - fitted if fitted else 0.0, self.conf.algo_name, params)
         if math.isfinite(value) and (self.optimal is None or value < self.optimal.value):
@@ -230,7 +231,8 @@ class MabSolver:
         self.frame, self.optimisers, self.random = frame, optimisers, np.random.default_rng(seed)
         n = len(optimisers)
         self.consumption, self.usage = np.zeros(n), np.zeros(n, int)
-        self.pivot = self.random_value(seed)
+        with timed(f"pivot of {optimisers[0].measure.name}", end=Level.INFO) as found:
+            self.pivot = found["result"] = self.random_value(seed)
         self.rewards = np.full(n, self.pivot)
         self.history: list[HistoryRun] = []
 
@@ -258,13 +260,14 @@ class MabSolver:
 
     def step(self, arm: int) -> float:
         began = time.time()
-        run = self.optimisers[arm].step()
+        with timed(f"arm {arm}", end=Level.INFO, algorithm=self.optimisers[arm].conf.algo_name, attempt=int(self.usage[arm]) + 1, of_all=len(self.history) + 1) as found:
+            run = self.optimisers[arm].step()
+            found["result"] = -run.value
         took = time.time() - began
         self.history.append(run)
         self.consumption[arm] += took
         self.usage[arm] += 1
         self.rewards[arm] = max(self.rewards[arm], -run.value)
-        log.info("arm %d, %s: %.6g in %.1f s", arm, run.algo, run.value, took)
         return took
 
     def run(self, time_limit: float) -> Optimal | None:

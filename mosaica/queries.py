@@ -27,6 +27,7 @@ from .plans.search import SPACES, AutoCluster, RandomOpt, UcbMab, cumulative_bes
 from .session import shared_dir
 from .sources import files
 from .sources.blobs import blobs
+from .sources.datasets import register_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,12 +221,6 @@ def l2_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(spark, sf_dir).df.select(F.col(ID).alias("vec_id"), r6(F.aggregate(dist.scale("e", 3.0), F.lit(0.0), lambda a, b: a + b)).alias("d"))
 
 
-@query("l3_bounds", f"WITH {V}, x AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM v) SELECT dim::INTEGER AS dim, round(min(x), 6) AS low, round(max(x), 6) AS high FROM x GROUP BY dim")
-def l3_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = embedded(spark, sf_dir).df.select(F.posexplode("e").alias("dim", "x"))
-    return x.groupBy("dim").agg(r6(F.min("x")).alias("low"), r6(F.max("x")).alias("high"))
-
-
 @query("l4_centroid", f"WITH {V}, x AS (SELECT l, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM v) SELECT l::INTEGER AS label, dim::INTEGER AS dim, round(avg(x), 6) AS mean FROM x GROUP BY l, dim")
 def l4_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, _, c = Clusters(embedded(spark, sf_dir)).centres
@@ -381,6 +376,12 @@ def p24_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.clean(t, trims=["n_name"], ints=["k"], renames={"n_name": "name", "k": "key"}).select("key", "name")
 
 
+@query("p24_split_concat_contains", "SELECT c_custkey, c_name[instr(c_name, '#') + 1 :] AS number, c_mktsegment || '/' || c_nationkey::VARCHAR AS place FROM customer WHERE contains(c_mktsegment, 'U')")
+def p24_split_concat_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = files.clean(table(spark, sf_dir, "customer"), splits={"number": ("c_name", "#", 1)}, joins={"place": ["c_mktsegment", F.lit("/"), F.col("c_nationkey").cast("string")]}, holding={"c_mktsegment": "U"})
+    return t.select("c_custkey", "number", "place")
+
+
 # ---- sources ------------------------------------------------------------------------------------------------------
 
 
@@ -466,6 +467,17 @@ def s12_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.df.agg(F.count("*").alias("rows"), F.countDistinct(CLASS).alias("classes"), F.countDistinct(ID).alias("ids"), F.max(F.size("m1")).alias("first"), F.max(F.size("m2")).alias("second"))
 
 
+@query("a15_fetchers", "SELECT 'customers' AS name, count(*) AS rows, count(DISTINCT c_mktsegment) AS classes, 2::INTEGER AS width FROM customer UNION ALL SELECT 'embeddings', count(*), count(DISTINCT label), 64 FROM embeddings UNION ALL SELECT 'lines', count(*), count(DISTINCT l_linestatus), (4 + count(DISTINCT l_returnflag))::INTEGER FROM lineitem")
+def a15_fetchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data sets by name: prepared and written at first, read again the second time."""
+    register_tables(sf_dir)
+    cache, out = _path(spark, "fetched"), []
+    for name in ("customers", "embeddings", "lines"):
+        f = [files.by_name(name).preprocessed(spark, cache) for _ in range(2)][1]
+        out.append((name, f.df.count(), f.df.select(CLASS).distinct().count(), f.global_dim))
+    return spark.createDataFrame(out, "name string, rows long, classes long, width int")
+
+
 # ---- internal measures --------------------------------------------------------------------------------------------
 
 PARTS = f"""{V},

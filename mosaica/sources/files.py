@@ -53,9 +53,18 @@ def zip_rows(left: DataFrame, right: DataFrame, left_order: str, right_order: st
     return numbered(left, left_order, "__row").join(numbered(right, right_order, "__row"), "__row").drop("__row")
 
 
-def clean(df: DataFrame, trims: list[str] = (), ints: list[str] = (), renames: dict[str, str] | None = None) -> DataFrame:
-    """The usual tidying before modalities are joined."""
+def clean(df: DataFrame, trims: list[str] = (), ints: list[str] = (), splits: dict[str, tuple[str, str, int]] | None = None, joins: dict[str, list] | None = None, holding: dict[str, str] | None = None, renames: dict[str, str] | None = None) -> DataFrame:
+    """The usual tidying before modalities are joined, in this order.
+
+    ``trims`` lose blanks at their ends; ``ints`` become whole numbers, null where they are none; ``splits`` gives new columns from
+    ``(column, separator, number of the part)``, null beyond the last, and ``joins`` from columns and literals (``F.lit``) put together, null
+    if one is; of ``holding`` only rows whose column contains the string stay; ``renames`` come last.
+    """
     df = df.withColumns({c: F.trim(c) for c in trims} | {c: F.trim(F.col(c).cast("string")).try_cast("int") for c in ints})
+    df = df.withColumns({name: F.get(F.split(F.col(c), f"\\Q{sep}\\E"), part) for name, (c, sep, part) in (splits or {}).items()})
+    df = df.withColumns({name: F.concat(*parts) for name, parts in (joins or {}).items()})
+    for c, held in (holding or {}).items():
+        df = df.where(F.col(c).contains(held))
     return df.withColumnsRenamed(renames or {})
 
 
