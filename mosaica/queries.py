@@ -710,7 +710,20 @@ def c6b_two_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a[0], a[1], b[0], b[1]) for a, b in units], "dim1 int, bucket1 int, dim2 int, bucket2 int")
 
 
-@query("c6_clique")
+_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+_CLIQUE_SQL = (
+    _GRID.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", u AS MATERIALIZED (SELECT u.*, row_number() OVER (ORDER BY dim1, bucket1, dim2, bucket2) AS i FROM ({_TWO}) u, tau WHERE n >= t),
+e AS (SELECT x.i, y.i AS j FROM u x JOIN u y ON x.dim1 = y.dim1 AND x.dim2 = y.dim2 AND abs(x.bucket1 - y.bucket1) + abs(x.bucket2 - y.bucket2) = 1),
+reach(i, j) AS (SELECT i, i FROM u UNION SELECT r.i, e.j FROM reach r JOIN e ON e.i = r.j),
+k AS (SELECT u.*, (dense_rank() OVER (ORDER BY root) - 1)::INTEGER AS label FROM u JOIN (SELECT j AS i, min(i) AS root FROM reach GROUP BY j) USING (i)),
+cell AS (SELECT b0, b1, b2, b3, count(*) AS c FROM b GROUP BY ALL), """
+    + f"held AS ({' UNION ALL '.join(f'SELECT b0, b1, b2, b3, label FROM cell JOIN k ON dim1 = {i} AND dim2 = {j} AND bucket1 = b{i} AND bucket2 = b{j}' for i, j in _PAIRS)}) "
+    + "SELECT coalesce(label, -1)::INTEGER AS _label, sum(c)::BIGINT AS rows FROM cell LEFT JOIN (SELECT b0, b1, b2, b3, min(label) AS label FROM held GROUP BY ALL) USING (b0, b1, b2, b3) GROUP BY 1"
+)
+
+
+@query("c6_clique", _CLIQUE_SQL)
 def c6_clique(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = scaled_lines(spark, sf_dir)
     return CLIQUE(_SHARE, _SPLITS, 2).fit_predict(f).df.groupBy(LABEL).agg(F.count("*").alias("rows"))
