@@ -256,3 +256,31 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, slack: int =
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(name), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "license", "start_word", "n_words", "coverage"])
 
     return _texts(docs).mapInArrow(tidy(run), "doc_id long, license string, start_word long, n_words long, coverage double")
+
+
+def scan_sql(templates: Mapping[str, str] = TEMPLATES, slack: int = SLACK) -> str:
+    """:func:`scan` of ``documents`` for DuckDB, which looks for every phrase at every place."""
+    found = parse(templates)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    phrases = ", ".join(f"({quoted(t.name)}, {k}, {at}, {len(p)}, {len(t.phrases)}, {quoted(p[0])}, {quoted(' '.join(p))})" for t in found for k, (at, p) in enumerate(t.phrases))
+    every = ", ".join(f"({quoted(t.name)}, {j}, {quoted(w)})" for t in found for j, w in enumerate(t.words))
+    return f"""
+WITH p(license, k, place, len, phrases, first, phrase) AS (VALUES {phrases}),
+t(license, j, word) AS (VALUES {every}),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d),
+q AS MATERIALIZED (
+  SELECT p.license, p.k, p.place, p.len, p.phrases, w.rid, w.i - p.place AS q FROM w JOIN p ON w.word = p.first JOIN d USING (rid)
+  WHERE array_to_string(d.ws[w.i + 1 : w.i + p.len], ' ') = p.phrase
+), n AS (
+  SELECT a.license, a.rid, a.q AS d, b.k, min_by(b.q + b.place + b.len, (abs(b.q - a.q), b.q)) AS upto
+  FROM q a JOIN q b ON a.license = b.license AND a.rid = b.rid AND a.k = 0 AND (b.k = 0 AND b.q = a.q OR b.k > 0 AND abs(b.q - a.q) <= {slack}) GROUP BY ALL
+), m AS MATERIALIZED (
+  SELECT n.license, rid, d, max(upto) AS upto FROM n JOIN p ON p.license = n.license AND p.k = 0 GROUP BY n.license, rid, d, p.phrases HAVING count(*) = p.phrases
+), c AS (
+  SELECT m.license, rid, m.d, round(avg((m.d + j + {slack} >= 0 AND list_contains(d.ws[greatest(1, m.d + j - {slack - 1}) : m.d + j + {slack + 1}], word))::INTEGER), 4) AS coverage
+  FROM m JOIN t USING (license) JOIN d USING (rid) GROUP BY ALL
+)
+SELECT d.doc_id, m.license, m.d + p.place AS start_word, m.upto - m.d - p.place AS n_words, c.coverage
+FROM m JOIN c ON c.license = m.license AND c.rid = m.rid AND c.d = m.d JOIN p ON p.license = m.license AND p.k = 0 JOIN d ON d.rid = m.rid
+"""

@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_token_shards": op10_token_shards,
 }
-SQL: dict[str, str] = {"op1_mixing": mixing.MIXTURE_SQL, "op2_warc": warc.PAGES_SQL, "op8_top_k": topk.TOP_K_SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.MIXTURE_SQL, "op2_warc": warc.PAGES_SQL, "op5_licenses": licenses.scan_sql(), "op6_suffix_array": suffix.SPANS_SQL, "op8_top_k": topk.TOP_K_SQL}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, SOLID, cut, flat, keyed, mix, parts, passing, ranges_hash, real_id, texts_of, tidy, words
+from .common import ID, KEY, NO_ID, SOLID, cut, flat, keyed, mix, parts, passing, ranges_hash, real_id, texts_of, tidy, words
 
 #: A passage is repeated if this many words in a row are.
 THRESHOLD = 50
@@ -267,3 +267,22 @@ def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
     return cutting.select(*(F.col(f"`{c}`") for c in names), "__llm_gone", inner).mapInArrow(tidy(run), docs.schema)
+
+
+#: :func:`spans` of ``documents`` with its defaults, for DuckDB; it takes each ``doc_id`` for one document.
+SPANS_SQL = f"""
+WITH d AS (SELECT DISTINCT coalesce(doc_id, {NO_ID}) AS id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, regexp_extract_all(t, '[^ \\t\\n\\r\\v\\f]+') AS ws FROM d),
+h AS (
+  SELECT id, unnest(range(len(ws) - {THRESHOLD - 1})) AS pos, unnest(list_transform(range(len(ws) - {THRESHOLD - 1}), lambda i: md5(array_to_string(ws[i + 1 : i + {THRESHOLD}], ' ')))) AS h
+  FROM w WHERE len(ws) >= {THRESHOLD}
+), f AS (
+  SELECT h, min((id, pos)) AS f FROM h GROUP BY h HAVING count(*) > 1
+), m AS (
+  SELECT id, pos, f[1] AS first_id, f[2] - pos AS shift FROM h JOIN f USING (h)
+), r AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY id, first_id, shift ORDER BY pos) AS run FROM m
+)
+SELECT nullif(id, {NO_ID}) AS doc_id, min(pos) AS start_word, max(pos) - min(pos) + {THRESHOLD} AS n_words, nullif(first_id, {NO_ID}) AS first_doc_id, min(pos) + shift AS first_start_word
+FROM r GROUP BY id, first_id, shift, run
+"""

@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pytest
 
-from mosaica.llm.licenses import TEMPLATES, Scanner, _hash, frequencies, parse, scan
+from mosaica.llm.licenses import TEMPLATES, Scanner, _hash, frequencies, parse, scan, scan_sql
 
 
 def brute(text, slack=3):
@@ -64,6 +64,20 @@ def test_matches_brute_force(spark):
     assert len({x[0] for m in got.values() for x in m}) > 10
 
 
+def test_sql():
+    """The SQL on notices with several phrases, some changed, pushed apart, cut off at either end or repeated."""
+    duckdb = pytest.importorskip("duckdb")
+    cut = re.findall("[0-9A-Za-z]+", notice("BSD-3-Clause"))
+    rows = [*corpus(), (500, None), (501, ""), (502, " ".join(cut[3:])), (503, " ".join(cut[:-9])), (504, " ".join(cut * 3)), (505, " ".join(cut))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = {}
+    for i, *m in con.execute(scan_sql()).fetchall():
+        got.setdefault(i, []).append(tuple(m))
+    assert {i: sorted(m) for i, m in got.items()} == {i: m for i, t in rows if (m := brute(t or ""))}
+
+
 def test_frequencies_count_documents(spark):
     docs = spark.createDataFrame([(1, "license LICENSE the"), (2, "the license"), (3, "copy"), (3, None)], "doc_id long, text string")
     df = frequencies(docs)

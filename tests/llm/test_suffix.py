@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from mosaica.llm import suffix
-from mosaica.llm.suffix import drop_repeats, repeated_windows, spans
+from mosaica.llm.suffix import SPANS_SQL, drop_repeats, repeated_windows, spans
 
 
 def brute(rows, t):
@@ -87,6 +87,15 @@ def test_spans_match_brute_force(spark, t):
     assert spans_of(spark, rows, t) == brute_spans(rows, t)
 
 
+def test_sql():
+    duckdb = pytest.importorskip("duckdb")
+    rows = [*corpus(70, 9), (500, "same " * 300), (501, "a b " * 90), (502, "a b " * 70), (503, None), (504, ""), (505, " \n\t"), (506, "\x0b".join(["v w"] * 80)), *[(507, "twice " * 60)] * 2]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert set(con.execute(SPANS_SQL).fetchall()) == brute_spans(list(dict.fromkeys(rows)), 50)
+
+
 def test_long_texts_and_a_hot_document(spark):
     r = random.Random(4)
     w = [f"w{r.randrange(10**6)}" for _ in range(150_000)]
