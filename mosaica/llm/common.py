@@ -50,14 +50,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def passing(f):
-    """For a function that returns rows of its first argument: columns whose names it might use itself have others meanwhile."""
+    """For a function that returns rows of its first argument: columns whose names it might use itself, or with dots or quotes, have others meanwhile."""
+    clashes = lambda c: c.lower().startswith(("__llm_", "__own_")) or "." in c or "`" in c
 
     @wraps(f)
     def run(docs: DataFrame, *args, **options) -> DataFrame:
         names = docs.columns
-        if not any(c.lower().startswith("__llm_") for c in names):
+        if not any(map(clashes, names)):
             return f(docs, *args, **options)
-        inner = docs.toDF(*(f"__own_{k}" if c.lower().startswith("__llm_") else c for k, c in enumerate(names)))
+        inner = docs.toDF(*(f"__own_{k}" if clashes(c) else c for k, c in enumerate(names)))
         return f(inner, *args, **options).toDF(*names)
 
     return run
