@@ -1,4 +1,9 @@
-"""A corpus from raw documents to token ids: quality rules, near copies, repeated passages, mixture, encoding."""
+"""A corpus from raw documents to token ids: quality rules, near copies, repeated passages, mixture, encoding.
+
+Defined cases: null, empty and blank texts go with the quality rules; rows that repeat ``doc_id`` and text leave one; a null
+``doc_id`` takes part and comes out null; a null language goes by script and a null source is one of its own; the longest texts
+go through whole; an empty table gives no rows; other columns pass through to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
