@@ -47,21 +47,46 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """``tables[0]`` has words, ``tables[n]`` n-grams: string -> log frequencies by language."""
+    """``tables[0]`` has words, ``tables[n]`` n-grams: string -> log frequencies by language. It is sent as matrices and the strings of their rows."""
 
     def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]):
-        self.languages, self.tables = languages, tables
+        self.tables = tables
+        self.__setstate__((languages, [list(t) for t in tables], [np.array(list(t.values()), float).reshape(len(t), len(languages)) for t in tables]))
+
+    def __getstate__(self):
+        return self.languages, [list(x) for x in self.row], self.values
+
+    def __setstate__(self, state) -> None:
+        self.languages, names, self.values = state
+        self.row = [{x: k for k, x in enumerate(n)} for n in names]
 
     def score(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            g = grams(word, n)
-            hit = [x for x in map(self.tables[n].get, g) if x is not None]
-            if hit and 2 * len(hit) >= len(g):
-                return np.mean(hit, axis=0)
-        return np.zeros(len(self.languages))
+        return self.scores([word])[0]
+
+    def scores(self, found: list[str]) -> np.ndarray:
+        """A row for each word: they are looked up one by one, and the values of all are averaged at once."""
+        out = np.zeros((len(found), len(self.languages)))
+        of, hits, many = ([[] for _ in self.row] for _ in range(3))
+        whole = self.row[0]
+        for k, w in enumerate(found):
+            n, hit = 0, [whole[w]] if w in whole else []
+            if not hit and w:
+                for n in range(LONGEST, 0, -1):
+                    row, g = self.row[n], grams(w, n)
+                    hit = [row[x] for x in g if x in row]
+                    if hit and 2 * len(hit) >= len(g):
+                        break
+                else:
+                    hit = []
+            if hit:
+                of[n].append(k)
+                hits[n] += hit
+                many[n].append(len(hit))
+        for n, m in enumerate(many):
+            if m:
+                size = np.array(m)
+                out[of[n]] = np.add.reduceat(self.values[n][hits[n]], np.cumsum(size) - size, axis=0) / size[:, None]
+        return out
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, min_count: int = MIN_COUNT) -> Model:
@@ -126,7 +151,7 @@ class Scorer:
         new = np.flatnonzero((spot == len(self.known)) | (self.known[np.minimum(spot, len(self.known) - 1)] != distinct)) if len(self.known) else np.arange(len(distinct))
         if len(new):
             texts = [raw[starts[k] : ends[k]].tobytes().decode() for k in first[new].tolist()]
-            rows = np.array([self.model.score(w) if (w := word_of(t)) else np.zeros(total.shape[1]) for t in texts]).reshape(len(new), -1)
+            rows = self.model.scores([t.lower() if t.isascii() and t.isalpha() else word_of(t) for t in texts])
             known, row = np.concatenate([self.known, distinct[new]]), np.concatenate([self.row, len(self.rows) + np.arange(len(new))])
             order = np.argsort(known)
             self.known, self.row, self.rows = known[order], row[order], np.concatenate([self.rows, rows])
