@@ -152,3 +152,72 @@ def test_cases(spark):
     assert sorted(r.node for r in left.collect()) == [1, 4, 5, 6, 7]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert duplicates(empty).collect() == [] and drop_near_copies(empty).collect() == []
+
+
+def fingerprints_near(n, flips, centres, seed):
+    r = np.random.default_rng(seed)
+    c = r.integers(0, 2**64, (centres, 4), np.uint64)[r.integers(0, centres, n)]
+    return np.unique(c ^ np.packbits(r.random((n, 256)) < flips / 256, axis=1).view(np.uint64), axis=0)
+
+
+def block_search(f, radius, crowd=None):
+    """Pairs that all blocks and pieces find, in one process."""
+    from mosaica.llm.simhash import _keys, found_by
+
+    crowd = np.full(len(f), -1) if crowd is None else crowd
+    out = []
+    for base, v in _keys(f, radius):
+        for x in np.unique(v):
+            at = np.flatnonzero(v == x)
+            for i, j in found_by(f[at], None, radius, base >> 20, base >> 16 & 15, crowd[at], crowd[at]):
+                out += zip(np.minimum(at[i], at[j]).tolist(), np.maximum(at[i], at[j]).tolist())
+    return out
+
+
+def test_block_search_finds_every_pair_once():
+    f = fingerprints_near(400, 24, 6, 1)
+    d = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+    crowd = np.arange(len(f)) % 4 - 1
+    for radius in (0, 1, 15, 16, 31, 40, 48, 63, 128, 255, 256, 300):
+        want = {(i, j) for i, j in zip(*np.nonzero(d <= radius)) if i < j}
+        got = block_search(f, radius)
+        assert len(got) == len(set(got)) and set(got) == want, radius
+    got = block_search(f, 48, crowd)  # those of one crowd are left to another comparison
+    assert set(got) == {(i, j) for i, j in zip(*np.nonzero(d <= 48)) if i < j and (crowd[i] < 0 or crowd[i] != crowd[j])} and len(got) == len(set(got))
+
+
+def test_block_search_compares_few_pairs(monkeypatch):
+    from mosaica.llm import simhash
+
+    f, seen, count = fingerprints_near(40_000, 128, 1, 2), [], np.bitwise_count
+
+    def counting(x, *args, **options):
+        seen.append(x.size)
+        return count(x, *args, **options)
+
+    monkeypatch.setattr(simhash.np, "bitwise_count", counting)
+    assert block_search(f, RADIUS) == []
+    assert sum(seen) < len(f) * (len(f) - 1) / 2  # 0.64 a pair here and 0.27 with 120,000; all with all takes two a pair, however many
+
+
+def test_crowds_and_deals(spark, monkeypatch):
+    """Texts near each other and few to a task: crowds are found, dealt out, and joined to what is near them."""
+    from mosaica.llm import simhash
+
+    r = random.Random(9)
+    rows = corpus(60, 8)
+    w = [f"crowd{k}" for k in range(150)]
+    for k in range(60):
+        x = list(w)
+        for _ in range(r.choice([2, 6, 14])):
+            x[r.randrange(len(x))] = f"new{k}"
+        rows.append((3000 + k, " ".join(x)))
+    f, _ = fingerprints_of(pa.array([t for _, t in rows]))
+    centres, sizes = simhash.centres_of(f, RADIUS)
+    assert len(centres) and sizes[0] > 20
+    docs = spark.createDataFrame(rows + rows[-5:], "doc_id long, text string")
+    want = brute(rows, links=True)
+    monkeypatch.setattr(simhash, "TILE", 7)
+    for group in (simhash.GROUP, 6):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        assert {(x.doc_id, x.kept_id, x.links) for x in duplicates(docs).collect()} == want
