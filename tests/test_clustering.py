@@ -262,3 +262,47 @@ def test_meta_features(frame):
     f = dict(zip(NAMES, meta_features(frame)))
     assert sum(f[f"md{i}"] for i in range(1, 11)) == pytest.approx(1) and f["std"] ** 2 == pytest.approx(f["variance"])
     assert 0 < sum(f[f"z{i}"] for i in range(4)) < 1
+
+
+def test_tiles_of_rows_all_near_are_not_compared(spark, monkeypatch):
+    """Two clumps narrower than epsilon, and a chain between them: the same counts and clusters, and only tiles at the edge are compared."""
+    from mosaica.operators import dbscan
+
+    monkeypatch.setattr(dbscan, "ROWS", 16)
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.random((300, 2)) * 0.5, r.random((300, 2)) * 0.5 + 4, np.stack([np.arange(12) * 0.3 + 0.5] * 2, axis=1)])
+    ms = (Modality("p", 2),)
+    f = MultiFrame(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{ID} long, p array<double>"), ms, len(x))
+    d = pairwise(ms, x, x)
+    for eps in (1.0, 0.43):
+        boxes = boxes_of(f, eps)
+        assert {q[ID]: q.neighbours for q in neighbour_counts(f, eps, boxes).collect()} == dict(enumerate((d <= eps).sum(1).tolist()))
+        got = {q[ID]: q[LABEL] for q in DBSCAN(eps, 4).labels(f).collect()}
+        core = (d <= eps).sum(1) >= 4
+        lab = np.arange(len(x))
+        while True:
+            new = np.array([lab[(d[i] <= eps) & core].min() if core[i] else i for i in range(len(x))])
+            if (new == lab).all():
+                break
+            lab = new
+        number = {k: n for n, k in enumerate(sorted(set(lab[core].tolist())))}
+        assert got == {i: number[lab[i]] if core[i] else -1 for i in range(len(x))}
+    b = dbscan.Bounds(dbscan.boxed(f.df, boxes_of(f, 1.0)), 2)
+    some, every = dbscan.near_tiles(b, b, boxes_of(f, 1.0))
+    assert len(every) > 0.4 * len(b.n) ** 2 and len(some) < 0.15 * len(b.n) ** 2
+
+
+def test_neighbours_of_equal_rows_are_those_of_least_id(spark, monkeypatch):
+    from mosaica.functions import tiles
+    from mosaica.operators.spectral import nearest_neighbours
+
+    monkeypatch.setattr(tiles, "ROWS", 23)
+    monkeypatch.setattr(tiles, "RUN", 2)
+    r = np.random.default_rng(9)
+    x = np.repeat(r.standard_normal((30, 12)), 4, axis=0)[r.permutation(120)] + 5
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], f"{ID} long, p array<double>")
+    got = {(q[ID], q["rank"]): q.neighbour for q in nearest_neighbours(df, [Modality("p", 12)], 6).collect()}
+    for i in range(120):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [got[i, k + 1] for k in range(6)] == np.lexsort((np.arange(120), d))[:6].tolist()

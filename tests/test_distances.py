@@ -98,3 +98,44 @@ def test_frames(spark, tmp_path):
             MultiFrame.of(df, wrong)
     with pytest.raises(ValueError):
         Modality("v", 2, "hamming")
+
+
+def test_squares_of_near_rows_keep_their_digits():
+    r = np.random.default_rng(1)
+    x = r.standard_normal((300, 40)) + 100.0
+    y = np.concatenate([x[:50], x[50:100] + 1e-7, r.standard_normal((200, 40)) + 100.0])
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    got = dist.pairwise([Modality("v", 40)], x, y)
+    assert (got[np.arange(50), np.arange(50)] == 0).all() and np.allclose(got, want, rtol=1e-9, atol=0)
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_kernels_over_many_rows(metric):
+    r = np.random.default_rng(2)
+    x, y, m = r.standard_normal((90, 12)), r.standard_normal((70, 12)), [Modality("v", 12, metric, norm=3.0)]
+    x[3], y[4], y[5] = 0, 0, x[7]
+    i, j = (v.ravel() for v in np.indices((90, 70)))
+    d = dist.pairwise(m, x, y)
+    assert np.allclose(d.ravel(), dist.paired(m, x[i], y[j]), atol=1e-12)
+    edge = dist.paired(m, x[:1], y[:1])[0]
+    assert (dist.within(m, x, y, edge).ravel() == (dist.paired(m, x[i], y[j]) <= edge)).all()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+@pytest.mark.parametrize("dim,shape", [(2, "square"), (2, "circle"), (3, "square"), (9, "square")])
+def test_exact_diameter_leaves_no_end_out(spark, monkeypatch, metric, dim, shape):
+    from mosaica.functions import norms
+
+    monkeypatch.setattr(norms, "FEW_ROWS", 20)
+    r = np.random.default_rng(dim)
+    x = r.random((1500, dim)) ** 2 * 3
+    if shape == "circle":
+        t = r.random(1500) * 2 * np.pi
+        x = np.stack([np.cos(t), np.sin(t)], axis=1)
+    x[:700] = x[700:1400]
+    m = Modality("v", dim, metric, 0.3, 7.0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, v array<double>")
+    want = dist.pairwise([Modality("v", dim, metric)], x, x).max()
+    assert exact_diameter(df, m) == pytest.approx(want, rel=1e-14)
+    if dim <= norms.FEW_DIMENSIONS and shape == "square":
+        assert 2 <= norms._outer(df, Modality("v", dim, metric), approximate_diameter(df, Modality("v", dim, metric))).count() < 150
