@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaica.modality import CLASS, ID, LABEL, Modality, MultiFrame
+from mosaica.functions.norms import exact_diameter
 from mosaica.operators.boxes import boxes_of
 from mosaica.operators.clique import CLIQUE, groups
 from mosaica.operators.components import components
@@ -306,3 +307,44 @@ def test_neighbours_of_equal_rows_are_those_of_least_id(spark, monkeypatch):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf
         assert [got[i, k + 1] for k in range(6)] == np.lexsort((np.arange(120), d))[:6].tolist()
+
+
+def test_sums_of_similarities(spark, monkeypatch):
+    from mosaica.functions import tiles
+    from mosaica.operators.spectral import affinity_sums
+
+    monkeypatch.setattr(tiles, "ROWS", 17)
+    monkeypatch.setattr(tiles, "RUN", 2)
+    r = np.random.default_rng(4)
+    x, v = r.standard_normal((60, 7)), r.standard_normal((60, 3))
+    df = spark.createDataFrame([(i, p.tolist(), q.tolist()) for i, (p, q) in enumerate(zip(x, v))], f"{ID} long, p array<double>, v array<double>")
+    got = np.zeros((60, 3))
+    for q in affinity_sums(df, [Modality("p", 7)], 0.3, "v", 3).collect():
+        got[q[ID], q.k] = q.y
+    assert np.allclose(got, np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(2)) @ v, atol=1e-12)
+
+
+def test_residuals_are_small_in_absolute_terms_too():
+    r = np.random.default_rng(6)
+    q = np.linalg.qr(r.standard_normal((400, 400)))[0]
+    a = (q * np.concatenate([[1e6], 0.9 ** np.arange(399) * 1e4])) @ q.T
+    w, v = eigenvectors(lambda x: a @ x, 400, 6)
+    assert residuals(a, w, v) < 1e-7
+
+
+def test_meta_features_of_many_tiles(spark, monkeypatch):
+    from mosaica.functions import tiles
+
+    monkeypatch.setattr(tiles, "ROWS", 11)
+    monkeypatch.setattr(tiles, "RUN", 2)
+    r = np.random.default_rng(7)
+    x = r.random((70, 8)) + 10
+    m = Modality("p", 8)
+    d = pairwise([m], x, x)[np.triu_indices(70, 1)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{ID} long, p array<double>")
+    got = dict(zip(NAMES, meta_features(MultiFrame(df, (Modality("p", 8, norm=exact_diameter(df, m)),), 70))))
+    d /= d.max()
+    z = (d - d.mean()) / d.std()
+    assert got["kurtosis"] == pytest.approx((z**4).mean() - 3) and got["skewness"] == pytest.approx((z**3).mean())
+    assert [got[f"md{k + 1}"] for k in range(10)] == pytest.approx([((d >= k * 0.1) & ((d < (k + 1) * 0.1) | (k == 9))).mean() for k in range(10)], abs=1e-12)
+    assert [got[f"z{k}"] for k in range(4)] == pytest.approx([((z >= k) & ((z < k + 1) | (k == 3))).mean() for k in range(4)], abs=1e-12)
