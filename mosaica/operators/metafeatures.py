@@ -13,7 +13,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 
-from ..functions.distances import pairwise
+from ..functions.distances import DOUBT, paired, pairwise
 from ..functions.tiles import over_pairs, tiles
 from ..modality import MultiFrame
 
@@ -30,6 +30,9 @@ def meta_features(frame: MultiFrame) -> list[float]:
     def distances(both) -> Iterator[np.ndarray]:
         for a, b in both:
             d = pairwise(ms, a.x, b.x)
+            if d.max() >= 1 - DOUBT:  # whether the greatest distance is 1 or just beyond
+                i, j = np.nonzero(np.abs(d - 1) <= DOUBT)
+                d[i, j] = paired(ms, a.x[i], b.x[j])
             yield d[a.ids[:, None] < b.ids[None, :]] if a.tile == b.tile else d.ravel()
 
     def over(f) -> list[np.ndarray]:
@@ -49,9 +52,11 @@ def meta_features(frame: MultiFrame) -> list[float]:
         for d in every:
             if not d.size:
                 continue
-            at = np.minimum(np.searchsorted(edges, d, "right") - 1, 9)
-            c = d - d.mean()
-            now = np.concatenate([[d.size, d.mean(), (c**2).sum(), (c**3).sum(), (c**4).sum()], np.bincount(at[d <= edges[10]], minlength=10)])
+            mean = d.mean()
+            c = d - mean
+            square = c * c
+            above = np.array([np.count_nonzero(d >= e) for e in edges[:10]] + [np.count_nonzero(d > edges[10])])
+            now = np.concatenate([[d.size, mean, square.sum(), np.dot(square, c), np.dot(square, square)], above[:-1] - above[1:]])
             total = now if total is None else merged(total, now)
         return total
 
@@ -60,7 +65,12 @@ def meta_features(frame: MultiFrame) -> list[float]:
     std = math.sqrt(variance)
 
     def scores(every) -> np.ndarray:
-        return sum((np.bincount(np.minimum(((d - mean) / std)[d >= mean].astype(int), 3), minlength=4) for d in every), np.zeros(4)).astype(float)
+        total = np.zeros(4)
+        for d in every:
+            score = (d - mean) / std
+            above = np.array([np.count_nonzero(score >= k) for k in range(4)] + [0])
+            total += above[:-1] - above[1:]
+        return total
 
     z = sum(over(scores)) / pairs if std else np.array([1.0, 0, 0, 0])
     return [mean, variance, std, m3 / std**3 if std else 0.0, m4 / std**4 - 3 if std else 0.0, *(m[5:] / pairs).tolist(), *z.tolist()]
