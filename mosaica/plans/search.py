@@ -27,6 +27,7 @@ from ..operators.hierarchical import CURE, Birch
 from ..operators.internal import Internal
 from ..operators.kmeans import BisectingKMeans, KMeans, MeanShift
 from ..operators.spectral import SpectralAdjacency, SpectralSimilarity
+from ..session import cut, numbered
 from .report import Level, timed
 
 #: What an optimiser is told when a configuration fails.
@@ -329,8 +330,23 @@ def history_frame(spark: SparkSession, runs: list[HistoryRun]) -> DataFrame:
     return spark.createDataFrame([(i, h.algo, float(h.value), h.fit_time, h.eval_time, json.dumps(h.params, default=float)) for i, h in enumerate(runs)], "step long, algo string, value double, fit_time double, eval_time double, params string")
 
 
+#: Steps of a block that one task looks at.
+BLOCK = 1 << 16
+
+
 def cumulative_best(history: DataFrame, step: str = "step", algo: str = "algo", value: str = "value", window: int = 25) -> DataFrame:
-    """``history`` with the best value so far of its algorithm, and the mean of the last ``window`` values of all."""
-    best = Window.partitionBy(algo).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = Window.orderBy(step).rowsBetween(-(window - 1), Window.currentRow)
-    return history.withColumn("best", F.min(value).over(best)).withColumn("rolling", F.avg(value).over(last))
+    """``history`` with the best value so far of its algorithm, and the mean of the last ``window`` values of all.
+
+    Steps are numbered in order and cut into blocks. A block gets the last rows of the one before, and each algorithm's best until then.
+    """
+    size, names = max(BLOCK, window), history.columns
+    rows = cut(numbered(history, step, "__number").withColumn("__block", F.floor(F.col("__number") / size)), "steps")
+    own = F.when(F.col("__own"), F.col(value))
+    earlier = rows.where(F.col("__number") % size > size - window).withColumn("__block", F.col("__block") + 1).withColumn("__own", F.lit(False))
+    last = Window.partitionBy("__block").orderBy("__number").rowsBetween(-(window - 1), Window.currentRow)
+    best = Window.partitionBy("__block", algo).orderBy("__number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("__own", F.lit(True)).unionByName(earlier).withColumn("rolling", F.avg(value).over(last)).withColumn("__best", F.min(own).over(best)).where("__own")
+    before = Window.partitionBy("__algo").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(F.col(algo).alias("__algo"), F.col("__block").alias("__at")).agg(F.min(value).alias("__least")).withColumn("__before", F.min("__least").over(before))
+    out = out.join(blocks, F.col(algo).eqNullSafe(F.col("__algo")) & (F.col("__block") == F.col("__at")))
+    return out.select(*names, F.least("__best", "__before").alias("best"), "rolling")

@@ -154,3 +154,30 @@ def test_registry():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 115
+
+
+def test_cumulative_best_over_blocks(spark, monkeypatch):
+    from mosaica.plans import search
+
+    monkeypatch.setattr(search, "BLOCK", 8)
+    r = np.random.default_rng(0)
+    v, a = r.random(60).round(3).tolist(), r.choice(["x", "y", None], 60, p=[0.6, 0.3, 0.1]).tolist()
+    v[5] = v[20] = None
+    h = spark.createDataFrame([(i * 3, p, q) for i, (p, q) in enumerate(zip(a, v))], "step long, algo string, value double").repartition(5)
+    got = {q.step // 3: q for q in cumulative_best(h, window=4).collect()}
+    assert len(got) == 60
+    for i in range(60):
+        seen, last = [v[k] for k in range(i + 1) if a[k] == a[i] and v[k] is not None], [x for x in v[max(0, i - 3) : i + 1] if x is not None]
+        assert got[i].best == (min(seen) if seen else None) and got[i].rolling == pytest.approx(sum(last) / len(last))
+
+
+def test_encoders_take_values_by_mini_batch(spark):
+    """Arrow values are made Python's a mini-batch at a time: the plan has no pandas UDF, which makes all of a batch at once."""
+    df = spark.createDataFrame([(i, None if i == 3 else "a b") for i in range(10)], "i long, t string").coalesce(1)
+    plan = df.select("i", encode_column(HashingEncoder(8), "t", 4).alias("v"))
+    want = HashingEncoder(8).encode(["a b", None]).astype(np.float32)
+    assert all(q.v == want[int(q.i == 3)].tolist() for q in plan.collect())
+    from pyspark.util import PythonEvalType
+
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in text and f", {PythonEvalType.SQL_SCALAR_PANDAS_ITER_UDF}" not in text
